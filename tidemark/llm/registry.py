@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .minhash import OP1_SQL, op1_minhash_near_dedup
+from .packing import op4_min_slack_packing
 from .quality_rules import OP10_SQL, op10_quality_ledger
 from .sharding import op2_jump_sharding
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_jump_sharding": op2_jump_sharding,
+    "op4_min_slack_packing": op4_min_slack_packing,
     "op10_quality_ledger": op10_quality_ledger,
 }
-ORACLE_SQL = {"op10_quality_ledger": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op10_quality_ledger": OP10_SQL}

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from .bit_sliced import OP6_SQL, op6_bit_sliced_top_k
+from .byte_bpe import op9_duckdb_byte_bpe
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op4_min_slack_packing
+from .quality_classifier import op5_ftrl_quality
 from .quality_rules import OP10_SQL, op10_quality_ledger
 from .sharding import op2_jump_sharding
+from .toxicity import op8_noisy_channel_toxicity
+from .warc import OP7_SQL, op7_zip_warc
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_jump_sharding": op2_jump_sharding,
     "op4_min_slack_packing": op4_min_slack_packing,
+    "op5_ftrl_quality": op5_ftrl_quality,
+    "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op7_zip_warc": op7_zip_warc,
+    "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
+    "op9_duckdb_byte_bpe": op9_duckdb_byte_bpe,
     "op10_quality_ledger": op10_quality_ledger,
 }
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op10_quality_ledger": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op6_bit_sliced_top_k": OP6_SQL, "op7_zip_warc": OP7_SQL, "op10_quality_ledger": OP10_SQL}

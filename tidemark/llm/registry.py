@@ -6,6 +6,7 @@ from .bit_sliced import OP6_SQL, op6_bit_sliced_top_k
 from .byte_bpe import op9_duckdb_byte_bpe
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op4_min_slack_packing
+from .pii import op3_disclosure_pii
 from .quality_classifier import op5_ftrl_quality
 from .quality_rules import OP10_SQL, op10_quality_ledger
 from .sharding import op2_jump_sharding
@@ -15,6 +16,7 @@ from .warc import OP7_SQL, op7_zip_warc
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_jump_sharding": op2_jump_sharding,
+    "op3_disclosure_pii": op3_disclosure_pii,
     "op4_min_slack_packing": op4_min_slack_packing,
     "op5_ftrl_quality": op5_ftrl_quality,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,

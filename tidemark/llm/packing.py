@@ -22,6 +22,8 @@ from .common import cut, read_table
 
 CAPACITY = 2048
 _MEMO_WORDS = 300_000
+#: ASCII marks that may follow the letters of a word; an apostrophe may begin a piece of its own, so it is none.
+_MARKS = b".,;:!?$%&#*|()[]{}\"+-/<>=@^_~"
 
 
 @functools.lru_cache(maxsize=1)
@@ -32,20 +34,66 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Token ids of texts, by the words between ASCII white space; the tokenizer drops white space and merges inside words only."""
+    """Token ids of texts, by the words between ASCII white space; the tokenizer drops white space and merges inside words only.
+
+    Words come with A-Z in lower case, as the tokenizer would make them. A word of letters alone is one piece to the
+    tokenizer and ends with an end-of-word token, so many new words go through it as one text and are told apart by
+    those tokens; ASCII marks behind the letters are a piece of their own.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path), {}
+        self.tokenizer, self.memo, self.older, self.marks = _tokenizer(path), {}, {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(part):  # a letter whose lower case isn't letters alone
+                out += self._each(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(data[start:end])
+                start = end
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > _MEMO_WORDS:
-            self.memo.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        memo, older = self.memo, self.older
+        new = []
+        for w in words:
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    new.append(w)
+        if len(memo) + len(new) > _MEMO_WORDS:
+            self.older, self.memo = memo, {w: memo[w] for w in words if w in memo}
+            memo = self.memo
+        plain, cores, marks, odd = [], [], [], []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            text = core.decode()
+            if text.isalpha():
+                plain.append(w)
+                cores.append(text)
+                marks.append(w[len(core) :])
+            else:
+                odd.append(w)
+        if more := [m for m in set(marks) if m not in self.marks]:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+                more = list(set(marks))
+            self.marks.update(zip(more, self._each([m.decode() for m in more]), strict=True))
+        for w, ids, m in zip(plain, self._letters(cores), marks, strict=True):
+            memo[w] = ids + self.marks[m] if m else ids
+        memo.update(zip(odd, self._each([w.decode() for w in odd]), strict=True))
 
     def encode(self, words: list[bytes]) -> bytes:
         memo = self.memo
@@ -58,7 +106,7 @@ def _pieces(path: str, capacity: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                texts = [(t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist())]  # special tokens count as written
                 ids.learn(set().union(*texts))
                 out: list[tuple] = []
                 for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):

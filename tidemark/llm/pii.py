@@ -9,6 +9,8 @@ sanitisation after Sanchez and Batet, 2016.) Everything is DataFrame expressions
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,21 +122,22 @@ def disclosing(docs: DataFrame, known: DataFrame, contexts: DataFrame) -> DataFr
     return all_of.select("entity", "term", share.alias("share")).filter(C("share") >= GENERALISE)
 
 
-def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, base (spans), spans (base and terms) and clean (the text without them) of every row.
 
     Null texts count as empty and have no spans; rows that repeat stay and count as documents each; null keys are kept; an empty
-    table gives no rows; other columns are left out. Where spans overlap, each leaves its mark once.
+    table gives no rows; other columns are left out, or put into the struct `carried` if `carry` names them. Where spans overlap, each leaves its mark once.
     """
-    docs = df.select(C(key).cast("long").alias("doc_id"), F.coalesce(C(text), F.lit("")).alias("text"))
-    found = docs.select("doc_id", "text", base_spans(C("text")).alias("base"))
+    docs = df.select(C(key).cast("long").alias("doc_id"), F.coalesce(C(text), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    with_it = ["carried"] if carry else []
+    found = docs.select("doc_id", "text", *with_it, base_spans(C("text")).alias("base"))
     known = cut(found.filter(F.size("base") > 0).withColumn("row", F.xxhash64("text")))
     contexts = cut(_contexts(known))
     telling = disclosing(docs, known, contexts)
     terms = contexts.join(telling, ["entity", "term"]).groupBy("doc_id", "row", "term").agg(F.max("share").alias("share"))
     terms = terms.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))  # a document's own words
     same = known["doc_id"].eqNullSafe(terms["doc_id"]) & (known["row"] == terms["row"])
-    rows = known.join(terms, same, "left").select(known["doc_id"], "text", "base", "terms")
+    rows = known.join(terms, same, "left").select(known["doc_id"], "text", *with_it, "base", "terms")
     either = F.array_join(F.transform("terms", lambda t: t["term"]), "|")  # letters only, so nothing needs quoting
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), either, F.lit(r")(?![\p{L}\p{M}])"))
     hit = F.when(C("terms").isNotNull(), spans_of(C("text"), pattern, "term")).otherwise(F.array().cast(_SPAN))
@@ -149,8 +152,8 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(C("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    rows = rows.select("doc_id", "text", "base", "spans", clean.alias("clean"))
-    rest = found.filter(F.size("base") == 0).select("doc_id", "text", "base", C("base").alias("spans"), C("text").alias("clean"))
+    rows = rows.select("doc_id", "text", *with_it, "base", "spans", clean.alias("clean"))
+    rest = found.filter(F.size("base") == 0).select("doc_id", "text", *with_it, "base", C("base").alias("spans"), C("text").alias("clean"))
     return rows.unionByName(rest)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 from .ftrl import Ftrl, fold_of, labelled_sample, sigmoid
@@ -104,23 +105,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return weights
 
 
-def _scored(weights: np.ndarray):
+def _scored(weights: np.ndarray, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
         for batch in batches:
-            scores = [sigmoid(float(weights[0]) + sum(float(weights[k].mean()) for k in grams.kinds(t.as_py()))) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = [sigmoid(float(weights[0]) + sum(float(weights[k].mean()) for k in grams.kinds(t.as_py()))) for t in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return run
 
 
+def with_scores(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows of `df`, which has no column of that name, with their `score`."""
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(_scored(weights, df.columns.index(text)), schema)
+
+
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
     Null, empty and blank texts have the bias alone; repeated rows get a score each; null ids count as held out; an
     empty table gives no rows; other columns are left out.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scored(weights), "doc_id long, score double")
+    rows = with_scores(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), weights)
     return rows.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -6,6 +6,7 @@ over those bits, kept by version, so a new policy or an ablation reads the ledge
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,16 +41,18 @@ def mask_of(*names: str) -> int:
 POLICIES = {"v1": mask_of("few_words", "repeated_words"), "v2": mask_of(*RULE_NAMES)}
 
 
-def measure(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def measure(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row of measurements for each row of `df`, in one pass and without a shuffle.
 
     n_repeat_words counts the words inside 3-word windows that occur twice or more. Windows are compared by 64-bit hash:
     most texts repeat none, which one distinct count shows; the rest sort (hash, position) pairs within the row.
-    Null and empty texts measure 0 everywhere; repeated rows stay; other columns are left out.
+    Null and empty texts measure 0 everywhere; repeated rows stay; other columns are left out, or put into the struct `row`
+    if `carry` names them.
     """
     t = F.coalesce(C(text), F.lit(""))
     rows = df.select(
         C(key).alias("doc_id"),
+        *([F.struct(*carry).alias("row")] if carry else []),
         words_of(t).alias("_words"),
         F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -73,13 +76,15 @@ def measure(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     same = lambda k, other: F.get(s, other)["h"] == s[k]["h"]  # noqa: E731  get() gives null outside the array
     repeated = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda k: F.array(s[k]["i"], s[k]["i"] + 1, s[k]["i"] + 2)))))
-    return rows.withColumn("n_repeat_words", F.when(n > 0, covered).otherwise(F.lit(0)).cast("long")).drop("_sorted")
+    # The row number, always 0 or more, makes the value one that filters above can't be pushed through: pushed down, they would
+    # make Spark put the expressions of the arrays into their own lambdas.
+    return rows.withColumn("n_repeat_words", F.when((n > 0) & (F.monotonically_increasing_id() >= 0), covered).otherwise(F.lit(0)).cast("long")).drop("_sorted")
 
 
-def ledger(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ledger(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Measurements and `fail_bits`: bit k is set if rule k of RULE_NAMES failed."""
     bits = [F.when(rule, F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(_rules())]
-    return measure(df, key, text).withColumn("fail_bits", reduce(lambda a, b: a + b, bits).cast("int"))
+    return measure(df, key, text, carry).withColumn("fail_bits", reduce(lambda a, b: a + b, bits).cast("int"))
 
 
 def apply_policy(rows: DataFrame, mask: int) -> DataFrame:

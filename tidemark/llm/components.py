@@ -11,9 +11,9 @@ from .common import cut
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links `a`, `b` reach, for every node with a link.
 
-    In each round a node points to the one of itself and its neighbours that has the least hash (another hash each
-    round, so that chains of rising ids shrink as fast as others); links are rewritten to what their ends point to, and
-    links inside a node vanish. The number of rounds is about the logarithm of the longest chain. All steps are grouped
+    In each round a node points to the least of itself and its neighbours, by id and by hash in turn: by id a star
+    shrinks to one node at once, by hash a chain of rising ids shrinks as fast as others. Links are rewritten to what their
+    ends point to, and links inside a node vanish. The number of rounds is about the logarithm of the longest chain. All steps are grouped
     minima with map-side combine and equi-joins that Spark can split where one node has very many links.
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
@@ -21,9 +21,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     roots = edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     step = 0
     while not edges.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        nearest = edges.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(F.col("m"), rank("u"))["id"].alias("p"))
-        nearest = cut(nearest)
+        order = F.xxhash64(F.col("v"), F.lit(step)) if step % 2 else F.col("v")
+        own = F.xxhash64(F.col("u"), F.lit(step)) if step % 2 else F.col("u")
+        nearest = edges.groupBy("u").agg(F.min(F.struct(order.alias("h"), F.col("v").alias("id"))).alias("m")).select("u", F.least(F.col("m"), F.struct(own.alias("h"), F.col("u").alias("id")))["id"].alias("p"))
         roots = cut(roots.join(nearest.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         moved = edges.join(nearest, "u").select(F.col("p").alias("pu"), "v").join(nearest.withColumnRenamed("u", "v"), "v").select(F.col("pu").alias("u"), F.col("p").alias("v"))
         edges = cut(moved.filter("u <> v").distinct())

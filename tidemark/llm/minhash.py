@@ -5,8 +5,8 @@ coordinate and value, and two classes are candidates if at least `matches` coord
 search, solved as such: values are ordered by how many classes share them, and two classes that agree on `matches`
 coordinates must share one of the coords - matches + 1 rarest values of each (prefix), while classes with fewer shared
 values than `matches` and lists whose classes are in one component already are passed over (skip). Candidates are
-confirmed on full shingle sets. No list is expanded into all its pairs before stars and components have joined what
-belongs together: only pairs across components are left for the last, exact round.
+confirmed on full shingle sets. No list is expanded into all its pairs: a star joins most of what belongs together, and
+what is left across components is settled in blocks that only give links away.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ from .components import connected_components
 #: At similarity 0.8 a pair agrees on fewer than 36 of 64 coordinates with a chance below one in 100,000.
 COORDS, MATCHES = 64, 36
 _MEMO_WORDS = 400_000
+#: Ids up to which they are broadcast (longs, so some tens of MB), and classes in a block on average.
+BROADCAST_IDS, BLOCK = 1_000_000, 256
 
 
 def _family(coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,52 +117,85 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int, similarity: fl
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(sized).filter(agree >= matches).select("a", "b").distinct()
 
 
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, words: int) -> DataFrame:
+    """(id, shingles) of the wanted ids' texts, made anew. The ids are broadcast if their number `n` allows, so that texts stay where they are read."""
+    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    return texts.mapInArrow(_sets(words), "id long, shingles array<long>")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity: 100 * intersection >= percent * union."""
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets(words), "id long, shingles array<long>"))
+    sets = cut(_shingle_sets(docs, wanted, 2 * pairs.count(), words))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def similar_components(docs: DataFrame, classes: DataFrame, postings: DataFrame, words: int, percent: int, matches: int, star_rounds: int = 4) -> DataFrame:
+def _linked_blocks(percent: int, matches: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            sig_a, sig_b = np.stack(left["sig"].to_list()), np.stack(right["sig"].to_list())
+            n_a, n_b = left["shingles"].map(len).to_numpy(), right["shingles"].map(len).to_numpy()
+            id_a, id_b, sets_a, sets_b = left["id"].to_numpy(), right["id"].to_numpy(), left["shingles"].to_list(), right["shingles"].to_list()
+            for i, sig in enumerate(sig_a):
+                fit = ((sig_b == sig).sum(axis=1) >= matches) & (right["comp"].to_numpy() != left["comp"].iloc[i])
+                fit &= 100 * np.minimum(n_a[i], n_b) >= percent * np.maximum(n_a[i], n_b)
+                for j in np.flatnonzero(fit):
+                    common = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+                    if 100 * common >= percent * (n_a[i] + n_b[j] - common):
+                        out.append((id_a[i], id_b[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _cross_links(listed: DataFrame, main: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
+    """Every link between two components that a list brings together, exactly.
+
+    Classes outside a list's largest component (minor ones) may link to any class of the list. Classes are dealt into blocks
+    of about BLOCK by the component they are near; blocks that share a list, one of them minor, meet once, count
+    agreeing coordinates on whole signatures and confirm on full sets. Only links leave a block, never pairs.
+    """
+    seen = listed.join(main.select("key", "main", "n"), "key")
+    near = F.max(F.struct(F.col("n"), F.col("main"))).alias("near")
+    ids = seen.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"), near)
+    ids = ids.select("id", "comp", "minor", F.when(F.col("minor"), F.col("near.main")).otherwise(F.col("comp")).alias("g"))
+    sizes = ids.groupBy("g", "minor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    ids = ids.join(sizes, ["g", "minor"]).select("id", "comp", "minor", F.xxhash64("g", "minor", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    ids = cut(ids)
+    spread = listed.select("key", "id").join(ids.select("id", "block", "minor"), "id").select("key", "block", "minor").distinct()
+    meet = spread.filter("minor").select("key", F.col("block").alias("x")).join(spread.select("key", F.col("block").alias("y")), "key")
+    meet = cut(meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    sets = _shingle_sets(docs, ids.select("id").distinct(), ids.count(), words)
+    full = cut(ids.join(classes.select("id", "sig"), "id").join(sets, "id").select("block", "id", "comp", "sig", "shingles"))
+    names = ["x", "y", "id", "comp", "sig", "shingles"]
+    side = lambda s: meet.join(full.withColumnRenamed("block", s), s).select(names).toDF(*names).groupBy("x", "y")  # noqa: E731  toDF: two sides of one table need names of their own
+    return side("x").cogroup(side("y")).applyInPandas(_linked_blocks(percent, matches), "a long, b long")
+
+
+def similar_components(docs: DataFrame, classes: DataFrame, postings: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
     """(id, component) of the classes that link to another.
 
-    A star round tests, in each list, every class against one hub, unless they are in one component already; its cost
-    is the length of the lists. Rounds repeat with other hubs while the pairs across components outnumber the postings
-    by far; then all those pairs are tested, so no link is lost whatever the hubs were.
+    First a star: each list's classes are tested against its smallest, which costs the length of the lists and joins most
+    of what belongs together. Then, if lists still hold several components, all links across them are looked for.
     """
-    links: DataFrame | None = None
-    found = None
-    size = postings.count()
-    for step in range(star_rounds + 1):
-        listed = postings.select("key", "id", F.col("id").alias("comp")) if found is None else postings.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        if found is not None:
-            live = listed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            listed = cut(listed.join(live, "key"))
-        per = listed.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
-        across = per.agg(F.sum("p")).first()[0] or 0.0
-        if not across:
-            break
-        last = step == star_rounds or (step > 0 and across <= 4 * size)
-        if last:
-            other = listed.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = listed.withColumnRenamed("id", "a").join(other, "key").filter("comp < comp_b").select("a", "b").distinct()
-        else:
-            order = F.xxhash64(F.col("id"), F.lit(step)) if step else F.col("id")
-            hubs = listed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("comp"))).alias("h")).select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("hub_comp"))
-            pairs = listed.join(hubs, "key").filter("comp <> hub_comp").select(F.col("id").alias("a"), "b").distinct()
-        new = cut(_confirmed(_agreeing(pairs, classes, matches, percent / 100), docs, words, percent))
-        links = new if links is None else links.union(new)
-        found = cut(connected_components(links)).withColumnRenamed("node", "id")
-        if last:
-            break
-    if found is None:
-        return postings.select("id", F.col("id").alias("component")).limit(0)
-    return found
+    hubs = postings.groupBy("key").agg(F.min("id").alias("b"))
+    pairs = postings.join(hubs, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = cut(_confirmed(_agreeing(pairs, classes, matches, percent / 100), docs, words, percent))
+    found = cut(connected_components(links)).withColumnRenamed("node", "id")
+    listed = postings.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    main = listed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+    main = cut(main.filter("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.n").alias("n")))
+    if main.isEmpty():
+        return found
+    more = cut(_cross_links(listed.join(main.select("key"), "key"), main, docs, classes, words, percent, matches))
+    if more.isEmpty():
+        return found
+    return connected_components(links.union(more)).withColumnRenamed("node", "id")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:

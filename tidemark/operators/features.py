@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import by_symbol, guarded, ratio
 
-W = by_symbol()
 C = F.col
 
 
@@ -31,7 +31,7 @@ def ewm(df: DataFrame, specs: Sequence[Ewm], key: str = "symbol", order: str = "
 
     A recursive mean has no window form, so each symbol's bars, some thousands of rows, go to a task as one Arrow group.
     """
-    schema = df.schema
+    schema = T.StructType(list(df.schema.fields))
     for s in specs:
         schema = schema.add(s.target, "double")
 
@@ -44,7 +44,7 @@ def ewm(df: DataFrame, specs: Sequence[Ewm], key: str = "symbol", order: str = "
 
 def returns(n: int = 1, close: str = "close") -> Column:
     """Change against the n-th bar before; null without one or from a close of 0."""
-    return ratio(C(close), F.lag(close, n).over(W)) - 1
+    return ratio(C(close), F.lag(close, n).over(by_symbol())) - 1
 
 
 def sma(col: Column, n: int) -> Column:
@@ -70,13 +70,13 @@ def volume_ratio(n: int = 20) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(by_symbol())
     return F.greatest(C("high") - C("low"), F.abs(C("high") - before), F.abs(C("low") - before))
 
 
 def target() -> tuple[Column, Column]:
     """The next bar's return, and 1.0 or 0.0 for its sign; null on the last bar."""
-    r = ratio(F.lead("close", 1).over(W), C("close")) - 1
+    r = ratio(F.lead("close", 1).over(by_symbol()), C("close")) - 1
     return r, F.when(r.isNotNull(), (r > 0).cast("double"))
 
 
@@ -99,13 +99,13 @@ def compute_all_features(
     sma_long_windows: tuple[int, int] = (50, 200),
 ) -> DataFrame:
     """Bars (symbol, date, open, high, low, close, volume) with every indicator and the two targets."""
-    change = C("close") - F.lag("close").over(W)
+    change = C("close") - F.lag("close").over(by_symbol())
     df = bars.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), "_tr": true_range()})
     fast, slow, signal = macd_windows
     specs = [Ewm("close", "_fast", 2 / (fast + 1), False), Ewm("close", "_slow", 2 / (slow + 1), False), Ewm("_tr", "atr", 1 / atr_window, True, atr_window)]
     for w in (rsi_window, rsi_window_long):
         specs += [Ewm("_gain", f"_gain_{w}", 1 / w, True, w), Ewm("_loss", f"_loss_{w}", 1 / w, True, w)]
-    schema = df.schema
+    schema = T.StructType(list(df.schema.fields))
     for name in [s.target for s in specs] + ["macd", "macd_signal"]:
         schema = schema.add(name, "double")
 

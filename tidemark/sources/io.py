@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,3 +73,9 @@ def read_equity_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_equity_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, or below a local one where none is configured (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -120,13 +120,13 @@ FEATURES_SQL = f"""f AS (SELECT symbol, date, close, volume, high, low, lag(clos
 SELECT symbol, date, round(return_1d, 6) AS return_1d, round(return_5d, 6) AS return_5d, round(return_20d, 6) AS return_20d, round(close / nullif(m20, 0), 6) AS close_norm,
   round(m20 / nullif(m50, 0), 6) AS sma_ratio, round(m50 / nullif(m200, 0), 6) AS sma_ratio_long, round(m20 + 2 * s20, 6) AS bb_upper, round(m20, 6) AS bb_middle, round(m20 - 2 * s20, 6) AS bb_lower,
   round(4 * s20 / nullif(m20, 0), 6) AS bb_bandwidth, round((close - m20 + 2 * s20) / nullif(4 * s20, 0), 6) AS bb_pct_b, round(volume / nullif(v20, 0), 6) AS volume_ratio,
-  round(greatest(high - low, abs(high - prev), abs(low - prev)), 6) AS true_range, round(nxt / nullif(close, 0) - 1, 6) AS target_return_1d, CASE WHEN nxt IS NOT NULL THEN (nxt > close)::INT::DOUBLE END AS target_binary FROM f""",
+  round(greatest(high - low, abs(high - prev), abs(low - prev)), 9) AS true_range, round(nxt / nullif(close, 0) - 1, 6) AS target_return_1d, CASE WHEN nxt IS NOT NULL THEN (nxt > close)::INT::DOUBLE END AS target_binary FROM f""",
 )
 def window_features(spark: SparkSession, d: str) -> DataFrame:
     ret, up = features.target()
     cols = {f"return_{n}d": features.returns(n) for n in (1, 5, 20)} | {"close_norm": features.close_norm(), "sma_ratio": features.sma_ratio(20, 50), "sma_ratio_long": features.sma_ratio(50, 200)}
     cols |= features.bollinger() | {"volume_ratio": features.volume_ratio(), "true_range": features.true_range(), "target_return_1d": ret, "target_binary": up}
-    return rounded(A.bars(spark, d).select("symbol", "date", *[c.alias(n) for n, c in cols.items()]))
+    return A.bars(spark, d).select("symbol", "date", *[F.round(c, 9 if n == "true_range" else 6).alias(n) for n, c in cols.items()])  # ranges of prices are short decimals, with ties at 6 digits
 
 
 @query(

@@ -9,7 +9,7 @@ from .packing import op4_min_slack_packing
 from .pii import op3_disclosure_pii
 from .quality_classifier import op5_ftrl_quality
 from .quality_rules import OP10_SQL, op10_quality_ledger
-from .sharding import op2_jump_sharding
+from .sharding import OP2_SQL, op2_jump_sharding
 from .toxicity import op8_noisy_channel_toxicity
 from .warc import OP7_SQL, op7_zip_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_duckdb_byte_bpe": op9_duckdb_byte_bpe,
     "op10_quality_ledger": op10_quality_ledger,
 }
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op6_bit_sliced_top_k": OP6_SQL, "op7_zip_warc": OP7_SQL, "op10_quality_ledger": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op2_jump_sharding": OP2_SQL, "op6_bit_sliced_top_k": OP6_SQL, "op7_zip_warc": OP7_SQL, "op10_quality_ledger": OP10_SQL}

@@ -48,12 +48,13 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
 
 
-def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1024) -> DataFrame:
+def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1021) -> DataFrame:
     """Shard, slot and size of every row of `df`.
 
-    Slots count from 0 without gaps in each shard, ordered by (bucket of the key's hash, key, size, checksum). They come
+    Slots count from 0 without gaps in each shard, ordered by (bucket, key, size, checksum), a bucket being the key plus the
+    text's checksum modulo `buckets`, so that ids with a pattern and ids that repeat spread alike. They come
     from two levels: a count per (shard, bucket), summed up over at most shards * buckets rows, which is small enough to
-    broadcast, plus a row number inside the bucket. No task sees a whole shard; choose `buckets` near rows / 10**6.
+    broadcast, plus a row number inside the bucket. No task sees a whole shard; choose a prime `buckets` near rows / 10**6.
 
     Null keys count as key 0, null texts have size 1 and checksum 0, repeated rows get a slot each, an empty table
     gives no rows, and other columns of `df` are left out. Returns the key, size, text_crc32, law, shard, slot, grown_shard.
@@ -65,8 +66,8 @@ def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
         F.lit("key").alias("law"),
         jump_hash(F.col(key), shards).alias("shard"),
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int").alias("_bucket"),
     )
+    rows = rows.withColumn("_bucket", F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1 << 31)) + F.col("text_crc32"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "size", "text_crc32")
@@ -79,3 +80,21 @@ def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(read_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE tbl AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+        xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+      FROM documents, tbl),
+j(doc_id, n, k, b, j) AS (
+  SELECT doc_id, n, (doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616, -1::BIGINT, 0::BIGINT FROM (SELECT DISTINCT doc_id FROM documents), (VALUES (8), (9)) v(n)
+  UNION ALL
+  SELECT doc_id, n, k2, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k2 // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (((k // 4294967296) * 2862933555777941757 % 4294967296) * 4294967296 + (k % 4294967296) * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM j WHERE j < n)),
+s AS (SELECT doc_id, max(b) FILTER (n = 8)::INTEGER AS shard, max(b) FILTER (n = 9)::INTEGER AS grown_shard FROM j WHERE j >= n GROUP BY doc_id)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY (d.doc_id % 2147483648 + text_crc32) % 1021, d.doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM d JOIN s ON s.doc_id = d.doc_id
+"""

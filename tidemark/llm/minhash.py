@@ -134,21 +134,45 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, as products of 0/1 matrices over the values that both sides have, some columns at a time."""
+    flat = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, right)]
+    shared = np.intersect1d(flat[0][0], flat[1][0])
+    places = []
+    for values, row in flat:
+        at = np.searchsorted(shared, values)
+        hit = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == values) if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], row[hit][order]))
+    out = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, len(shared), columns):
+        sides = []
+        for (at, row), n in zip(places, out.shape, strict=True):
+            lo, hi = np.searchsorted(at, (start, start + columns))
+            m = np.zeros((n, columns), np.float32)
+            m[row[lo:hi], at[lo:hi] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def _linked_blocks(percent: int, matches: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = np.empty((0, 2), np.int64)
         if len(left) and len(right):
             sig_a, sig_b = np.stack(left["sig"].to_list()), np.stack(right["sig"].to_list())
-            n_a, n_b = left["shingles"].map(len).to_numpy(), right["shingles"].map(len).to_numpy()
-            id_a, id_b, sets_a, sets_b = left["id"].to_numpy(), right["id"].to_numpy(), left["shingles"].to_list(), right["shingles"].to_list()
-            for i, sig in enumerate(sig_a):
-                fit = ((sig_b == sig).sum(axis=1) >= matches) & (right["comp"].to_numpy() != left["comp"].iloc[i])
-                fit &= 100 * np.minimum(n_a[i], n_b) >= percent * np.maximum(n_a[i], n_b)
-                for j in np.flatnonzero(fit):
-                    common = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
-                    if 100 * common >= percent * (n_a[i] + n_b[j] - common):
-                        out.append((id_a[i], id_b[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            sets_a, sets_b = left["shingles"].to_list(), right["shingles"].to_list()
+            n_a, n_b = np.array([len(v) for v in sets_a])[:, None], np.array([len(v) for v in sets_b])[None, :]
+            agree = np.stack([(sig_b == sig).sum(axis=1) for sig in sig_a]) >= matches
+            fit = agree & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+            i, j = np.nonzero(fit)
+            if len(i) > 4 * (len(left) + len(right)):
+                common = _common(sets_a, sets_b)[i, j]
+            else:
+                common = np.array([len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+            link = 100 * common >= percent * (n_a[i, 0] + n_b[0, j] - common)
+            found = np.stack([left["id"].to_numpy()[i[link]], right["id"].to_numpy()[j[link]]], axis=1)
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 

@@ -313,9 +313,9 @@ def test_bpe_equals_tiktoken(spark, odd_texts):
     rng = random.Random(1)
     texts = [*odd_texts, "<|endoftext|> it's 日本語 😀‍ x  \n\n y", "a" * 500, "".join(rng.choice("abcdefg") for _ in range(700)), " " * 300]
     df = docs(spark, texts).withColumn("ids", F.lit(1))
-    rows = byte_bpe.decode(byte_bpe.encode(df, path, P.PATTERN), path).collect()
-    assert {r["doc_id"]: r["ids"] for r in rows} == {i: ref.encode_ordinary(t or "") for i, t in enumerate(texts)}
-    assert {r["doc_id"]: bytes(r["decoded"]) for r in rows} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    for rows in (byte_bpe.decode(byte_bpe.encode(df, path, P.PATTERN), path).collect(), byte_bpe.encode_and_decode(df, path, P.PATTERN).collect()):
+        assert {r["doc_id"]: r["ids"] for r in rows} == {i: ref.encode_ordinary(t or "") for i, t in enumerate(texts)}
+        assert {r["doc_id"]: bytes(r["decoded"]) for r in rows} == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert byte_bpe.decode(byte_bpe.encode(df.limit(0), path, P.PATTERN), path).count() == 0
 
 

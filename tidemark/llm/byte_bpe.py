@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-_MEMO_PIECES = 400_000
+_MEMO_PIECES = 450_000
 #: Token rows that go through one query; longer batches are cut between texts or pieces.
 _ROWS = 200_000
 
@@ -58,7 +58,7 @@ def _database(path: str):
     ranks = read_ranks(path)
     rows = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     left, right, merged = (pa.array(c, pa.int32()) for c in zip(*rows, strict=True))
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
     con.register("m", pa.table({"l": left, "r": right, "merged": merged}))
     con.execute("CREATE TABLE merges AS SELECT * FROM m")
     con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -171,11 +171,66 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(_decoded(ranks_path, 1), "doc_id long, ids array<int>, decoded binary")
 
 
+class Runs:
+    """Bytes of the id runs of pieces: each distinct run goes through the ordered aggregate once, a text is its runs in order."""
+
+    def __init__(self, con):
+        self.con, self.memo = con, {}
+
+    def learn(self, runs: set[bytes]) -> None:
+        new = [r for r in runs if r not in self.memo]
+        if len(self.memo) + len(new) > _MEMO_PIECES:
+            self.memo.clear()
+            new = list(runs)
+        at = 0
+        while at < len(new):
+            part, size = [], 0
+            while at < len(new) and (not part or size < _ROWS):
+                part.append(new[at])
+                size += len(new[at]) // 4
+                at += 1
+            n = np.array([len(r) // 4 for r in part])
+            tok = np.frombuffer(b"".join(part), np.int32)
+            self.con.register("ids", pa.table({"doc": np.repeat(np.arange(len(part)), n), "pos": np.arange(len(tok)), "tok": tok}))
+            for doc, data in self.con.execute(DECODE_SQL).fetchall():
+                self.memo[part[doc]] = bytes.fromhex(data)
+            self.con.unregister("ids")
+
+
+def _transcoded(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, known = regex.compile(pattern).findall, Pieces(path)
+        back = Runs(known.con)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [split(t or "") for t in batch.column(1).to_pylist()]
+                distinct: set[str] = set().union(*texts)
+                known.learn(distinct)
+                memo = known.memo
+                back.learn({memo[p] for p in distinct})
+                bytes_of = back.memo
+                runs = [[memo[p] for p in pieces] for pieces in texts]
+                ids = [b"".join(r) for r in runs]
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                decoded = pa.array([b"".join([bytes_of[x] for x in r]) for r in runs], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))), decoded], ["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`encode` and then `decode` in one pass: one database in a task, and a run of ids that a piece gave is decoded once."""
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_transcoded(ranks_path, pattern), "doc_id long, ids array<int>, decoded binary")
+
+
 def op9_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = decode(encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    rows = encode_and_decode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -158,6 +158,23 @@ def test_terms_that_disclose(spark):
     assert all(not rows[i]["spans"] for i in range(5, 85))
 
 
+def terms_of(row):
+    return [s["value"] for s in row["spans"] if s["kind"] == "term"]
+
+
+def test_terms_that_disclose_values_seen_once(spark):
+    """Values of one document each: the estimate is made for the value and, where that is too weak, for its class and kind."""
+    rng = random.Random(9)
+    unique = [f"{prose(rng, 20)} Qwxyz {prose(rng, 5)} u{i}@firm.example.com {prose(rng, 20)}" for i in range(8)]
+    kinds = [f"{prose(rng, 20)} Vrklm 10.{i}.{2 * i}.7 {prose(rng, 20)}" for i in range(40, 48)]
+    rest = [prose(rng, 60) for _ in range(400)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(docs(spark, [*unique, *kinds, *rest])).collect()}
+    assert all("Qwxyz" in terms_of(rows[i]) and "Qwxyz" not in rows[i]["clean"] for i in range(8))
+    assert all("Vrklm" in terms_of(rows[i]) and "Vrklm" not in rows[i]["clean"] for i in range(8, 16))
+    assert all(not rows[i]["spans"] for i in range(16, 416))
+
+
+
 # ---- 4
 
 

@@ -2,9 +2,11 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers. Removing them isn't enough if a neighbouring term
 tells which entity stood there, so the corpus is asked how strongly each term reveals each protected entity: their
-pointwise mutual information, from document counts, over the information content of the entity. A term that reveals a share
-of `generalise` or more is replaced by a general mark, one of `remove` or more is taken out. (Information-theoretic
-sanitisation after Sanchez and Batet, 2016.) Everything is DataFrame expressions.
+pointwise mutual information, from document counts, over the information content of the entity. Most values stand in one
+document or two, so the chance of the entity given the term is a lower confidence bound, and an entity is asked for as its value,
+as its class (domain, number prefix) and as its kind. A term that reveals a share of `generalise` or more of any of them is
+replaced by a general mark, one of `remove` or more is taken out. (Information-theoretic sanitisation after Sanchez and
+Batet, 2016.) Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ PATTERNS = {
 #: Cheap signs that a text can have a match at all.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 KINDS = [*PATTERNS, "term"]
-LETTERS = r"\p{L}[\p{L}\p{M}]*+"
-WS = r"[\x20\x09-\x0D]"
-#: Terms count as near an entity within so many code points; pairs need that many documents; shares of disclosure.
-NEAR, SUPPORT, GENERALISE, REMOVE = 120, 3, 0.85, 0.95
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
+#: Shares of disclosure; normal deviate of the one-sided bound (90%).
+GENERALISE, REMOVE, Z = 0.85, 0.95, 1.2816
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
@@ -93,33 +94,62 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(known: DataFrame) -> DataFrame:
-    """(doc_id, row, entity, term): the letter runs of the whole words within NEAR code points of each base span."""
-    s = known.select("doc_id", "row", "text", F.explode("base").alias("s"))
-    left_at = F.greatest(C("s.start") - NEAR, F.lit(0))
-    left = F.concat(F.when(left_at == 0, F.lit(" ")).otherwise(F.lit("")), F.substring("text", left_at.cast("int") + 1, (C("s.start") - left_at).cast("int")))
-    right = F.concat(F.substring("text", C("s.end").cast("int") + 1, F.lit(NEAR)), F.when(C("s.end") + NEAR >= F.length("text"), F.lit(" ")).otherwise(F.lit("")))
-    word = F.lit(rf"(?<={WS})[^\x20\x09-\x0D0-9@]+(?={WS})")
-    words = F.concat(F.regexp_extract_all(left, word, F.lit(0)), F.regexp_extract_all(right, word, F.lit(0)))
-    terms = F.regexp_extract_all(F.lower(F.array_join(words, " ")), F.lit(LETTERS), F.lit(0))
-    entity = F.xxhash64(C("s.kind"), F.lower("s.value"))
-    return s.select("doc_id", "row", entity.alias("entity"), F.explode(F.array_distinct(terms)).alias("term")).distinct()
+def _marked(spans: str, mark) -> Column:
+    """The column `text` with mark(span) in place of each of the sorted spans; of spans that overlap, the first."""
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(C("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
+        return F.when(x["end"] <= s["at"], s).otherwise(F.struct(F.concat(s["out"], gap, mark(x)).alias("out"), x["end"].alias("at")))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(C("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, known: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term, share) of the terms that reveal an entity by GENERALISE of its information or more.
+def _levels(s: Column) -> Column:
+    """Hashes of a span's value, of its class (an e-mail's domain, the first half of an IP address, the first digits of a number) and of its kind."""
+    value, kind = F.lower(s["value"]), s["kind"]
+    parts = F.split(value, r"\.")
+    wide = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.concat_ws(".", parts[0], parts[1])).when(kind == "card", F.substring(_digits(value), 1, 6)).otherwise(F.substring(_digits(value), 1, 4))
+    return F.array(F.xxhash64(F.lit("value"), kind, value), F.xxhash64(F.lit("class"), kind, wide), F.xxhash64(F.lit("kind"), kind))
 
-    Counts are of documents over the whole corpus. Words are counted with map-side combine, so what is shuffled is a task's
-    vocabulary, not its text.
+
+def lower_bound(n: Column, of: Column) -> Column:
+    """Wilson's one-sided lower confidence bound of a chance seen as n of `of`."""
+    p, z = n / of, F.lit(Z)
+    return (p + z * z / (2 * of) - z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def pairs_of(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, row, key, n_e, term, n_t, information): the terms of every document in `known` with the entities (at each level) it holds.
+
+    n_e and n_t count documents of the whole corpus, entities' own text left out. A chance of n_et / n_t can't exceed n_e / n_t, so pairs whose
+    term is too common to reach GENERALISE whatever n_et is are dropped before they are counted. Words are counted with map-side
+    combine, so what is shuffled is a task's vocabulary, not its text.
     """
     total = docs.count()
-    pairs = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(C("n_et") >= SUPPORT)
-    entities = known.select("doc_id", "row", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(C("n_e") >= SUPPORT)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    all_of = pairs.join(entities, "entity").join(words, "term")
-    content = F.ln(F.lit(float(total)) / C("n_e"))
-    share = F.when(content > 0, F.ln(C("n_et") * F.lit(float(total)) / (C("n_t").cast("double") * C("n_e"))) / content).otherwise(F.lit(0.0))
-    return all_of.select("entity", "term", share.alias("share")).filter(C("share") >= GENERALISE)
+    entities = known.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_e")).filter(C("n_e") < total)
+    entities = cut(entities)
+    reach = lambda n: F.pow(n.cast("double"), F.lit(GENERALISE)) * F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) + 1e-6
+    widest = entities.agg(F.max(reach(C("n_e")))).first()[0] or 0.0
+    own = known.select(F.explode(F.array_except(_terms(C("text")), "terms")).alias("term"), F.lit(-1).alias("n"))
+    words = docs.select(F.explode(_terms(C("text"))).alias("term"), F.lit(1).alias("n")).unionByName(own).groupBy("term").agg(F.sum("n").alias("n_t")).filter(C("n_t") <= widest)
+    common = known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(C("n") > widest).select("term")
+    held = known.select(C("doc_id").alias("_id"), C("row").alias("_row"), F.explode("keys").alias("key")).distinct().join(entities, "key").groupBy("_id", "_row").agg(F.collect_list(F.struct("key", "n_e")).alias("held"))
+    rows = known.join(held, C("doc_id").eqNullSafe(C("_id")) & (C("row") == C("_row"))).select("doc_id", "row", "held", F.explode("terms").alias("term"))
+    rows = rows.join(F.broadcast(common), "term", "left_anti").join(words, "term")
+    rows = rows.select("doc_id", "row", "term", "n_t", F.inline("held")).filter(C("n_t") <= reach(C("n_e")))
+    return rows.withColumn("information", F.ln(F.lit(float(total)) / C("n_e")))
+
+
+def disclosing(pairs: DataFrame) -> DataFrame:
+    """(key, term, share) of the terms that reveal an entity, its class or its kind by GENERALISE of its information or more."""
+    counts = pairs.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"), F.first("information").alias("information"))
+    share = 1 + F.ln(lower_bound(C("n_et"), C("n_t"))) / C("information")
+    return counts.select("key", "term", share.alias("share")).filter(C("share") >= GENERALISE)
 
 
 def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -131,27 +161,25 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequ
     docs = df.select(C(key).cast("long").alias("doc_id"), F.coalesce(C(text), F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     with_it = ["carried"] if carry else []
     found = docs.select("doc_id", "text", *with_it, base_spans(C("text")).alias("base"))
-    known = cut(found.filter(F.size("base") > 0).withColumn("row", F.xxhash64("text")))
-    contexts = cut(_contexts(known))
-    telling = disclosing(docs, known, contexts)
-    terms = contexts.join(telling, ["entity", "term"]).groupBy("doc_id", "row", "term").agg(F.max("share").alias("share"))
+    keys = F.array_distinct(F.flatten(F.transform("base", _levels)))
+    known = cut(found.filter(F.size("base") > 0).withColumns({"row": F.xxhash64("text"), "keys": keys, "terms": _terms(_marked("base", lambda s: F.lit(" ")))}))
+    pairs = cut(pairs_of(docs, known))
+    terms = pairs.join(disclosing(pairs), ["key", "term"]).groupBy("doc_id", "row", "term").agg(F.max("share").alias("share"))
     terms = terms.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))  # a document's own words
+    known = known.drop("keys", "terms")
     same = known["doc_id"].eqNullSafe(terms["doc_id"]) & (known["row"] == terms["row"])
     rows = known.join(terms, same, "left").select(known["doc_id"], "text", *with_it, "base", "terms")
-    either = F.array_join(F.transform("terms", lambda t: t["term"]), "|")  # letters only, so nothing needs quoting
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), either, F.lit(r")(?![\p{L}\p{M}])"))
+    either = F.array_join(F.transform("terms", lambda t: t["term"]), "|")  # letters and digits only, so nothing needs quoting
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     hit = F.when(C("terms").isNotNull(), spans_of(C("text"), pattern, "term")).otherwise(F.array().cast(_SPAN))
     rows = rows.withColumn("spans", F.array_sort(F.concat("base", hit)))
     removed = F.transform(F.filter("terms", lambda t: t["share"] >= REMOVE), lambda t: t["term"])
     rows = rows.withColumn("_removed", F.coalesce(removed, F.array().cast("array<string>")))
 
-    def step(s: Column, x: Column) -> Column:
-        mark = F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(F.array_contains("_removed", F.lower(x["value"])), F.lit("")).otherwise(F.lit("[TERM]"))
-        gap = F.substring(C("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        return F.when(x["end"] <= s["at"], s).otherwise(F.struct(F.concat(s["out"], gap, mark).alias("out"), x["end"].alias("at")))
+    def mark(x: Column) -> Column:
+        return F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(F.array_contains("_removed", F.lower(x["value"])), F.lit("")).otherwise(F.lit("[TERM]"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(C("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+    clean = _marked("spans", mark)
     rows = rows.select("doc_id", "text", *with_it, "base", "spans", clean.alias("clean"))
     rest = found.filter(F.size("base") == 0).select("doc_id", "text", *with_it, "base", C("base").alias("spans"), C("text").alias("clean"))
     return rows.unionByName(rest)

@@ -174,6 +174,13 @@ def test_terms_that_disclose_values_seen_once(spark):
     assert all(not rows[i]["spans"] for i in range(16, 416))
 
 
+def test_terms_far_from_the_entity_and_with_digits(spark):
+    rng = random.Random(10)
+    told = [f"Zyxwv {prose(rng, 120)} B7421 of q@mail.example.com wrote {prose(rng, 20)}" for _ in range(6)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(docs(spark, told + [prose(rng, 60) for _ in range(200)])).collect()}
+    assert all({"Zyxwv", "B7421"} <= set(terms_of(rows[i])) for i in range(6))
+    assert all(not {"mail", "example", "com"} & set(terms_of(rows[i])) for i in range(6))
+
 
 # ---- 4
 

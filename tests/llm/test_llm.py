@@ -255,6 +255,19 @@ def test_toxicity_of_plain_and_disguised_words(spark):
     assert [got[608 + i]["predicted"] for i in range(3)] == [0] * 3
     assert toxicity.score(df.limit(0), model, {}, 0.0).count() == 0
 
+def test_toxicity_of_further_disguises(spark):
+    rng = random.Random(13)
+    rude = ["idiot", "moron", "scum", "worthless", "stupid"]
+    texts = [prose(rng, 30) + (f" {rng.choice(rude)}, " if i % 3 == 0 else " ") + prose(rng, 20) for i in range(600)]
+    disguised = ["idiiot", "stuupid", "$$$tupid", "m0r0n.", '"$tupid', "(1diot)", '"s.c.u.m"', "(i d i o t)", "s\tc\tu\tm", "m/o/r/o/n", "s*t*u*p*i*d", "i   d   i   o   t!"]
+    df = docs(spark, [*texts, *(f"{prose(rng, 20)} {w} {prose(rng, 20)}" for w in disguised)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.letter_model(df)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, *toxicity.train(df, labels, model)).collect()}
+    assert not [w for i, w in enumerate(disguised) if not got[600 + i]]
+    assert not [i for i in range(600) if i % 3 and got[i]]
+
+
 
 # ---- 6
 

@@ -34,9 +34,12 @@ _CODES = np.zeros(0x110000, np.uint8)
 _CODES[[ord(c) for c in LETTERS]] = np.arange(2, SIZE)
 _RUNS = re.compile(r"[^\W\d_]+")
 _SIGN = "".join(map(re.escape, LOOKALIKES))
-_DISGUISED = re.compile(rf"[^\W\d_][{_SIGN}]+[^\W\d_]|^[{_SIGN}]{{1,2}}[^\W\d_]|[^\W\d_][{_SIGN}]{{1,2}}$|([^\W\d_])\1\1")
-_SPACED = re.compile(rf"(?<![^\s])(?:[^\W\d_]|[{_SIGN}])(?:[ .\-_]{{1,2}}(?:[^\W\d_]|[{_SIGN}])){{2,}}(?![^\s.,;:!?])")
-_ODD_CASE = re.compile(r"[.\-_]")
+#: Of a word without its edge punctuation: a letter and a look-alike, or two equal letters in a row.
+_DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?=.*[{_SIGN}])|([^\W\d_])\1", re.DOTALL)
+#: Marks around a word; signs that may stand for a letter stay.
+_EDGE = ".,;:?\"'`´()[]{}<>&#%/\\«»„“”‚‘’¿¡-_~=^"
+_GAP = r"(?:[ \t.\-_/*|,·•]{1,3})"
+_SPACED = re.compile(rf"(?<!\w)(?:[^\W\d_]|[{_SIGN}])(?:{_GAP}(?:[^\W\d_]|[{_SIGN}])){{2,}}(?!\w|[{_SIGN}]+\w)")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +116,8 @@ class Restorer:
     def readings(self, word: str) -> list[str]:
         low = word.lower()
         found = _RUNS.findall(low)
-        if _DISGUISED.search(low):
-            part = low.strip(".,;:?\"'()[]{}<>&#%/\\")
+        part = low.strip(_EDGE)
+        if _DISGUISED.search(part):
             found += restore(part[:64], self.model).split() if len(part) <= 64 else [r for k in range(0, len(part), 48) for r in restore(part[k : k + 64], self.model).split()]
         return found
 
@@ -138,7 +141,7 @@ class Restorer:
             if got := self.of_word(word):
                 out.update(got)
         for m in _SPACED.finditer(text.lower()):
-            letters = re.sub(r"[ .\-_]+", " ", m.group())
+            letters = re.sub(_GAP, " ", m.group())
             for k in range(0, len(letters), 96):
                 names = self.named(restore(letters[k : k + 128], self.model).split())
                 out.update(names if self.wanted is None else {self.wanted[x] for x in names if x in self.wanted})

@@ -145,7 +145,7 @@ def forest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hmm_states")
 def hidden_states(spark: SparkSession, d: str) -> DataFrame:
-    rows = quality.assign_windows(regime_rows(spark, d).withColumn("symbol", F.lit("market")), quality.windows_frame(spark, WINDOWS[:2]), embargo=False)
+    rows = quality.assign_windows(regime_rows(spark, d).withColumn("symbol", F.lit("market")), quality.windows_frame(spark, WINDOWS), embargo=False)
     return models.hmm_states(rows, ["vix", "vol_20d", "market_breadth"])
 
 
@@ -161,10 +161,13 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_asset_class(full, A.universe(spark, d)).withColumn("symbol_rank", C("symbol").cast("int"))
 
 
+#: The reference's trees, folds and isolation trees, over all model features.
+PRODUCTION = walkforward.Settings(trees=300, folds=5, forest=100)
+
+
 @query("walk_forward")
 def walk(spark: SparkSession, d: str) -> DataFrame:
-    settings = walkforward.Settings(features=["close_norm", "return_1d", "return_5d", "rsi_14", "bb_pct_b"], trees=2, folds=2, forest=20)
-    return walkforward.walk_forward(model_rows(spark, d), regime_rows(spark, d), WINDOWS[:2], settings)[1]
+    return walkforward.walk_forward(model_rows(spark, d), regime_rows(spark, d), WINDOWS, PRODUCTION)[1]
 
 
 # ---- streams

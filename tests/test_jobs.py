@@ -25,3 +25,10 @@ def test_walk_forward_is_registered_whole(spark, monkeypatch):
 def test_hidden_states_of_every_window(spark):
     got = {r["iteration"] for r in jobs.hidden_states(spark, DATA).select("iteration").distinct().collect()}
     assert got == {w[0] for w in WINDOWS}
+
+
+def test_market_features_have_the_equity_correlation(spark):
+    assert "avg_correlation" in walkforward.REGIME and len(walkforward.REGIME) == 7
+    rows = jobs.regime_rows(spark, DATA)
+    assert set(walkforward.REGIME) <= set(rows.columns)
+    assert rows.filter("avg_correlation between -1 and 1").count() > 20

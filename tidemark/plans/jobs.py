@@ -128,12 +128,10 @@ def unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regime_rows(spark: SparkSession, d: str) -> DataFrame:
-    b = A.bars(spark, d)
-    rets = regime.daily_returns(b)
-    out = regime.align_asof(A.index_series(spark, d), b.select("date").distinct())
-    for part in (*(regime.realized_vol(rets, w) for w in (5, 20, 60)), regime.avg_volume_ratio(b), regime.market_breadth(rets)):
-        out = out.join(part, "date", "left")
-    return out
+    """All market features of the equity symbols (of all symbols if there is no equity), held as they are read many times: a row a date."""
+    bars, equity = A.bars(spark, d), A.universe(spark, d).filter("asset_class = 'equity'").select("symbol")
+    own = bars.join(F.broadcast(equity), "symbol", "left_semi")
+    return regime.build_regime_features(bars if own.isEmpty() else own, A.index_series(spark, d)).persist()
 
 
 @query("isolation_forest")
@@ -146,7 +144,7 @@ def forest(spark: SparkSession, d: str) -> DataFrame:
 @query("hmm_states")
 def hidden_states(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.assign_windows(regime_rows(spark, d).withColumn("symbol", F.lit("market")), quality.windows_frame(spark, WINDOWS), embargo=False)
-    return models.hmm_states(rows, ["vix", "vol_20d", "market_breadth"])
+    return models.hmm_states(rows, walkforward.REGIME)
 
 
 @query("score_headlines")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import ctypes.util
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set a local one only where none is configured (tests)."""
+    """Keep the cluster's shared checkpoint folder; set a local one only where none is configured and everything runs in this process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,3 +44,58 @@ def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; an empty array for null, empty or blank texts."""
     trimmed = F.btrim(text, F.lit(SPACE))
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+"))
+
+
+# ---- inside tasks
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices whose texts or binaries in `column` take `size` bytes at most (one row may take more).
+
+    When they end, the memory that the task freed goes back to the machine, as Python workers outlive their tasks.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the machine."""
+    pa.default_memory_pool().release_unused()
+    if name := ctypes.util.find_library("c"):
+        trim = getattr(ctypes.CDLL(name), "malloc_trim", None)  # GNU only
+        if trim is not None:
+            trim(0)
+
+
+class Memo:
+    """Values of keys met lately, within a number of bytes: a full generation becomes the old one, and what is used again moves on.
+
+    `turn(keys)` brings the keys that are known into `new`; `update` adds others. Both generations stay within `size` bytes
+    together, but for the keys of one turn. `entry` is what a key and its value take beside their lengths, with the dictionary's share.
+    """
+
+    def __init__(self, size: int, entry: int = 180):
+        self.bound, self.entry, self.held, self.new, self.old = size // 2, entry, 0, {}, {}
+
+    def turn(self, keys: set) -> None:
+        if self.held > self.bound:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.recall(keys)
+
+    def recall(self, keys: set) -> None:
+        if self.old:
+            old = self.old
+            known = [k for k in keys.difference(self.new) if k in old]
+            self.update(known, [old[k] for k in known])
+
+    def update(self, keys: list, values: list) -> None:
+        self.new.update(zip(keys, values, strict=True))
+        sized = values and isinstance(values[0], (bytes, str))
+        self.held += self.entry * len(keys) + sum(map(len, keys)) + (sum(map(len, values)) if sized else 0)

@@ -10,6 +10,8 @@ rank among the pieces of their length, on the executors.
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,103 +20,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import Memo, cut, read_table, slices
 
 CAPACITY = 2048
-_MEMO_WORDS = 300_000
+#: Pieces of one length that are ranked together, on average.
+RANKED = 1 << 18
+#: Bytes that the words kept in a task may take.
+_MEMO_BYTES = 64 << 20
+#: Runs of marks that are kept.
+_MARK_RUNS = 10_000
 #: ASCII marks that may follow the letters of a word; an apostrophe may begin a piece of its own, so it is none.
 _MARKS = b".,;:!?$%&#*|()[]{}\"+-/<>=@^_~"
+_LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 @functools.lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _tokenizers(path: str):
+    """The tokenizer, and the same model without normaliser and splitting pattern, for words that both would leave as they are."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(path)
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    plain.model._resize_cache(0)  # words come once
+    return whole, plain
 
 
 class WordIds:
     """Token ids of texts, by the words between ASCII white space; the tokenizer drops white space and merges inside words only.
 
-    Words come with A-Z in lower case, as the tokenizer would make them. A word of letters alone is one piece to the
-    tokenizer and ends with an end-of-word token, so many new words go through it as one text and are told apart by
-    those tokens; ASCII marks behind the letters are a piece of their own.
+    Words come with A-Z in lower case, as the tokenizer would make them. A word is its letters and the ASCII marks behind
+    them, which are a piece of their own, if the tokenizer leaves each letter as it is: then the letters are one piece that ends with an
+    end-of-word token, and many new words go through the model as one text. All other words go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer, self.memo, self.older, self.marks = _tokenizer(path), {}, {}, {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
+    def __init__(self, path: str, memo_bytes: int = _MEMO_BYTES):
+        self.whole, self.plain = _tokenizers(path)
+        self.memo, self.marks, self.letters = Memo(memo_bytes), {}, {}
+        self.ends = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for t, i in self.whole.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
 
     def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _steady(self, c: str) -> bool:
+        """Whether the tokenizer takes a letter as it is, before marks and beside any other such letter."""
+        if (got := self.letters.get(c)) is None:
+            joins = unicodedata.name(c, "").startswith("HANGUL") and not unicodedata.name(c).startswith("HANGUL SYLLABLE")  # parts of a syllable compose
+            got = c.isalpha() and not unicodedata.combining(c) and not joins and self.whole.normalizer.normalize_str(c) == c
+            if got:
+                both, one, mark = self._each([c + ".", c, "."])
+                got = both == one + mark
+            self.letters[c] = got
+        return got
+
+    def _plain(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(part):  # a letter whose lower case isn't letters alone
-                out += self._each(part)
-                continue
             data, start = ids.tobytes(), 0
             for end in ends.tolist():
                 out.append(data[start:end])
                 start = end
+        if len(out) != len(words):
+            raise ValueError("a word without an end")
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        memo, older = self.memo, self.older
-        new = []
-        for w in words:
-            if w not in memo:
-                if w in older:
-                    memo[w] = older[w]
-                else:
-                    new.append(w)
-        if len(memo) + len(new) > _MEMO_WORDS:
-            self.older, self.memo = memo, {w: memo[w] for w in words if w in memo}
-            memo = self.memo
-        plain, cores, marks, odd = [], [], [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            text = core.decode()
-            if text.isalpha():
-                plain.append(w)
-                cores.append(text)
-                marks.append(w[len(core) :])
-            else:
-                odd.append(w)
-        if more := [m for m in set(marks) if m not in self.marks]:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-                more = list(set(marks))
-            self.marks.update(zip(more, self._each([m.decode() for m in more]), strict=True))
-        for w, ids, m in zip(plain, self._letters(cores), marks, strict=True):
-            memo[w] = ids + self.marks[m] if m else ids
-        memo.update(zip(odd, self._each([w.decode() for w in odd]), strict=True))
+        """Afterwards `self.memo.new` has the ids of all `words`."""
+        self.memo.turn(words)
+        memo, marks = self.memo.new, self.marks
+        new = list(words.difference(memo))
+        cores = [w.rstrip(_MARKS) for w in new]
+        steady = {c for c in set(cores) if c.isalpha() and c.islower() or c and (_LATIN(t := c.decode()) or all(map(self._steady, t)))}  # bytes: isalpha() is for ASCII
+        plain = list(steady.difference(memo))
+        self.memo.update(plain, self._plain(b" ".join(plain).decode().split(" ")) if plain else [])
+        odd = [w for w, c in zip(new, cores, strict=True) if c not in steady]
+        self.memo.update(odd, self._each([w.decode() for w in odd]))
+        tails = [(w, c, w[len(c) :]) for w, c in zip(new, cores, strict=True) if c in steady and len(c) < len(w)]
+        more = list({m for _, _, m in tails}.difference(marks))
+        marks.update(zip(more, self._each([m.decode() for m in more]), strict=True))
+        self.memo.update([w for w, _, _ in tails], [memo[c] + marks[m] for _, c, m in tails])
+        if len(marks) > _MARK_RUNS:
+            marks.clear()
 
     def encode(self, words: list[bytes]) -> bytes:
-        memo = self.memo
+        memo = self.memo.new
         return b"".join([memo[w] for w in words])
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Words of a text with A-Z in lower case; special tokens count as written."""
+    return [w if b"<|" in w else w.lower() for w in text.split()] if b"<|" in text else text.lower().split()
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [(t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist())]  # special tokens count as written
-                ids.learn(set().union(*texts))
-                out: list[tuple] = []
-                for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    data = ids.encode(words) + b"\0\0\0\0"
-                    step = 4 * capacity
-                    out += [(doc_id, k, k * capacity, len(part := data[k * step : (k + 1) * step]) // 4, zlib.crc32(part)) for k in range(-(-len(data) // step))]
-                doc, piece, start, length, crc = zip(*out, strict=True) if out else ((),) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in slices(batches, 1):
+            texts = [_words(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids.learn(set().union(*texts))
+            out: list[tuple] = []
+            for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
+                data = ids.encode(words) + b"\0\0\0\0"
+                step = 4 * capacity
+                out += [(doc_id, k, k * capacity, len(part := data[k * step : (k + 1) * step]) // 4, zlib.crc32(part)) for k in range(-(-len(data) // step))]
+            doc, piece, start, length, crc = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -191,28 +205,30 @@ def _placed(spots: dict[int, np.ndarray]):
     return run
 
 
-def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, buckets: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ranked: int = RANKED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack every document of `df` into sequences of at most `capacity` tokens.
 
     A document is its token ids and one id 0; only longer ones are cut, into pieces of `capacity` tokens and a rest. Null and
     empty texts are a piece of one token, repeated rows are packed each, an empty table gives no rows, null keys are kept,
     and other columns are left out. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The driver sees a count per length (at most `capacity` rows). Ranks come from a count per (length, bucket), at most
-    capacity * buckets rows, plus a row number inside the bucket, so no length gathers in one task.
+    The driver sees a count per length (at most `capacity` rows). A length is dealt into buckets of about `ranked` pieces; ranks
+    come from a count per (length, bucket) plus a row number inside the bucket, so no length gathers in one task. What is
+    broadcast are those counts: at most `capacity` + pieces / `ranked` rows of three numbers, 16 bytes for 100,000 pieces or so.
     """
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark, docs = df.sparkSession, df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = cut(docs.mapInArrow(_pieces(tokenizer_path, capacity), schema))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     spots = places(plan(histogram, capacity))
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    parts = spark.createDataFrame([(k, -(-n // ranked)) for k, n in histogram.items()], "length long, _parts long")
+    rows = pieces.join(F.broadcast(parts), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_parts")).drop("_parts")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["length", "_bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("rank"))
-    return ranked.mapInArrow(_placed(spots), f"{schema}, sequence_id long, offset long")
+    ranked_rows = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["length", "_bucket"])
+    ranked_rows = ranked_rows.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("rank"))
+    return ranked_rows.mapInArrow(_placed(spots), f"{schema}, sequence_id long, offset long")
 
 
 def op4_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

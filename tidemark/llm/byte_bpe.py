@@ -1,9 +1,9 @@
 """Byte-level BPE with DuckDB's recursive queries, one database in each Python worker.
 
-Spark deals out the texts; inside a task, the distinct pieces of a batch become rows (piece, position, token). A
+Spark deals out the texts; inside a task, the distinct pieces of some texts become rows (piece, position, token). A
 recursive query joins neighbouring tokens with the merge table and contracts each piece's leftmost pair of least rank
-until no piece has a pair left. Decoding joins ids with the vocabulary and puts the bytes together in an ordered
-aggregate. Pieces met lately keep their ids, so a piece goes through the database once per worker or so.
+until no piece has a pair left. Decoding joins the ids of each document with the vocabulary and puts the bytes together in an ordered
+aggregate. Words met lately keep their ids, so a word goes through the database once per task or so.
 
 A piece takes as many rounds as it has merges, over its own rows: the work grows with the square of a single
 piece's length, which is a run of letters, digits, marks or white space; texts of any length are linear.
@@ -17,32 +17,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import Memo, give_back, read_table, slices
 
-_MEMO_PIECES = 450_000
-#: Token rows that go through one query; longer batches are cut between texts or pieces.
-_ROWS = 200_000
+#: Bytes that the pieces and words kept in a task may take.
+_MEMO_BYTES = 80 << 20
+#: Token rows that go through one query; more are cut between pieces or documents.
+_ROWS = 400_000
 
+#: `start` has a row (piece, pos, tok) for each byte, pos counting through all pieces, and a row with token -1 behind each piece.
 ENCODE_SQL = """
 WITH RECURSIVE state(piece, pos, tok, done) AS (
   SELECT piece, pos, tok, false FROM start
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-    SELECT piece, pos, tok, lead(tok) OVER w AS after, lag(pos) OVER w AS before FROM state WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+    SELECT piece, pos, tok, lead(tok) OVER w AS after, lag(pos) OVER w AS before FROM state WHERE NOT done WINDOW w AS (ORDER BY pos)),
   least AS (SELECT p.piece, min((m.merged::BIGINT << 32) | p.pos) AS best FROM pairs p JOIN merges m ON m.l = p.tok AND m.r = p.after GROUP BY p.piece)
   SELECT p.piece, p.pos, CASE WHEN p.pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE p.tok END, best IS NULL
   FROM pairs p LEFT JOIN least b ON b.piece = p.piece
   WHERE best IS NULL OR before IS NULL OR before <> best & 4294967295)
 )
-SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY piece ORDER BY piece
-"""
-DECODE_SQL = """
-SELECT doc, string_agg(v.hex, '' ORDER BY pos) AS hex
-FROM ids JOIN vocabulary v ON v.id = ids.tok GROUP BY doc ORDER BY doc
+SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE done AND tok >= 0 GROUP BY piece ORDER BY piece
 """
+DECODE_SQL = "SELECT doc, list(v.bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary v ON v.id = ids.tok GROUP BY doc ORDER BY doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +61,7 @@ def _database(path: str):
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
     con.register("m", pa.table({"l": left, "r": right, "merged": merged}))
     con.execute("CREATE TABLE merges AS SELECT * FROM m")
-    con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+    con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
     con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
     con.unregister("m")
     con.unregister("v")
@@ -69,68 +69,119 @@ def _database(path: str):
 
 
 class Pieces:
-    """Ids of pieces, learned in bulk."""
+    """Ids of texts by their words; the ids of new pieces come from the database in bulk.
+
+    A word is what stands between spaces, with the space before it. No match of the pattern reaches over a single space into the word
+    before, so the ids of a text whose words stand between single spaces and line ends are those of its words. Texts with other
+    white space, or runs of it, are parted by the pattern as a whole.
+    """
+
+    def __init__(self, path: str, pattern: str, memo_bytes: int = _MEMO_BYTES):
+        import regex
 
-    def __init__(self, path: str):
         self.con, self.ranks = _database(path)
-        self.bytes = np.zeros(256, np.int32)
-        for b in range(256):
-            self.bytes[b] = self.ranks[bytes([b])]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        memo, older, new = self.memo, self.older, []
-        for p in pieces:
-            if p not in memo:
-                if p in older:
-                    memo[p] = older[p]
-                else:
-                    new.append(p)
-        if len(memo) + len(new) > _MEMO_PIECES:
-            self.older, self.memo = memo, {p: memo[p] for p in pieces if p in memo}
-            memo = self.memo
+        self.split = regex.compile(pattern).findall
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.memo = Memo(memo_bytes)
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """Words of a text as keys of the memo; none if white space stands in runs or at an edge.
+
+        A plain key is a word with a space before it; behind \\x00 and \\n it is one at the begin of a line, with the line end before it, and behind
+        \\x00 and \\x01 one without anything before it.
+        """
+        if "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or "\x00" in text or text[:1] in " \n" or text[-1:] == " " or text[-2:] == "\n\n":
+            return []
+        return ("\x00\x01" + text.replace("\n", " \x00\n")).split(" ")
+
+    def pieces(self, text: str) -> list[str]:
+        """Matches of the pattern as keys: those of white space alone behind two \\x00, others as words."""
+        return ["\x00\x00" + p if p.isspace() else p[1:] if p[0] == " " else "\x00\x01" + p for p in self.split(text)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit integers."""
+        parts = [self.parts(t) for t in texts]
+        self.learn(set().union(*parts))
+        memo, out, odd = self.memo.new, [], {}
+        for k, x in enumerate(parts):
+            try:
+                out.append(b"".join([memo[p] for p in x]))
+            except TypeError:  # a word with white space of another kind at an edge
+                x = []
+                out.append(b"")
+            if not x and texts[k]:
+                odd[k] = self.pieces(texts[k])
+        self.learn_pieces(set().union(*odd.values()))
+        for k, x in odd.items():
+            out[k] = b"".join([memo[p] for p in x])
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Afterwards `self.memo.new` has the ids of all `words`, and "" for those that have white space at an edge."""
+        self.memo.turn(words)
+        memo = self.memo.new
+        # A space and ASCII letters are one piece, whose ids are the word's.
+        whole: set[str] = set()
+        mixed: dict[str, list[str] | tuple] = {}
+        for w in words.difference(memo):
+            if w.isalpha() and w.isascii():
+                whole.add(w)
+                continue
+            core = w[2:] if w[0] == "\x00" else w
+            text = " " + w if core is w else core if w[1] == "\x01" else w[1:]
+            mixed[w] = () if core and (core[0].isspace() or core[-1].isspace()) else self.pieces(text)
+        self.learn_pieces(whole.union(*mixed.values()))
+        self.memo.update(list(mixed), [b"".join([memo[p] for p in x]) if x else "" for x in mixed.values()])
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        self.memo.recall(pieces)
+        memo = self.memo.new
+        known: list[str] = []
+        ids: list[bytes] = []
         part: list[tuple[str, bytes]] = []
         size = 0
-        for p in new:
-            data = p.encode()
+        for p in pieces.difference(memo):
+            data = p[2:].encode() if p[0] == "\x00" else b" " + p.encode()
             if (whole := self.ranks.get(data)) is not None:
-                memo[p] = np.int32(whole).tobytes()
+                known.append(p)
+                ids.append(whole.to_bytes(4, "little"))
                 continue
             part.append((p, data))
             size += len(data)
             if size > _ROWS:
                 self._contract(part)
                 part, size = [], 0
+        self.memo.update(known, ids)
         if part:
             self._contract(part)
 
     def _contract(self, part: list[tuple[str, bytes]]) -> None:
-        size = np.array([len(d) for _, d in part], np.int64)
-        piece = np.repeat(np.arange(len(part), dtype=np.int32), size)
-        pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        tok = self.bytes[np.frombuffer(b"".join(d for _, d in part), np.uint8)]
-        self.con.register("start", pa.table({"piece": piece, "pos": pos, "tok": tok}))
+        size = np.array([len(d) + 1 for _, d in part], np.int64)
+        tok = np.full(int(size.sum()), -1, np.int32)
+        inside = np.ones(len(tok), bool)
+        inside[np.cumsum(size) - 1] = False
+        tok[inside] = self.bytes[np.frombuffer(b"".join(d for _, d in part), np.uint8)]
+        self.con.register("start", pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
         found = self.con.sql(ENCODE_SQL).to_arrow_table().column(1).combine_chunks()
         self.con.unregister("start")
-        data, ends = found.flatten().to_numpy().astype(np.int32).tobytes(), (found.offsets.to_numpy() * 4).tolist()
-        self.memo.update((p, data[a:b]) for (p, _), a, b in zip(part, ends, ends[1:], strict=False))
+        flat, ends = found.flatten().to_numpy().astype(np.int32).tobytes(), (found.offsets.to_numpy() * 4).tolist()
+        self.memo.update([p for p, _ in part], [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)])
 
 
-def _encoded(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
-        split, known = regex.compile(pattern).findall, Pieces(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [split(t or "") for t in batch.column(1).to_pylist()]
-                known.learn(set().union(*texts))
-                memo = known.memo
-                ids = [b"".join([memo[p] for p in pieces]) for pieces in texts]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))], ["doc_id", "ids"])
+
+def _encoded(path: str, pattern: str, back: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Pieces(path, pattern)
+        for batch in slices(batches, 1):
+            columns = [batch.column(0), _lists(known.encode([t or "" for t in batch.column(1).to_pylist()]))]
+            if back:
+                columns.append(decoded(known.con, columns[1]))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     return run
 
@@ -141,89 +192,51 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", te
     Null and empty texts have no ids; rows that repeat stay; null keys are kept; an empty table gives no rows; other columns are
     left out.
     """
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded(ranks_path, pattern), "doc_id long, ids array<int>")
-
-
-def _decoded(path: str, kept: int):
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded(ranks_path, pattern, False), "doc_id long, ids array<int>")
+
+
+def decoded(con, ids: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids: the vocabulary's bytes in the order of the ids' places, from the database; null lists have none."""
+    sizes, tok, at, out = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy(), 0, []
+    ends = np.cumsum(sizes)
+    while at < len(ids):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + _ROWS, side="right")) - at)
+        part, last = sizes[at : at + n], int(ends[at + n - 1])
+        texts = [b""] * n
+        if last > before:
+            con.register("ids", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), part), "pos": np.arange(last - before, dtype=np.int32), "tok": tok[before:last]}))
+            found = con.sql(DECODE_SQL).to_arrow_table()
+            con.unregister("ids")
+            parts = found.column(1).combine_chunks()
+            for doc, data in zip(found.column(0).to_pylist(), pc.binary_join(parts, pa.scalar(b"", parts.type.value_type)).to_pylist(), strict=True):
+                texts[doc] = data
+        out += texts
+        at += n
+    return pa.array(out, pa.binary())
+
+
+def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, _ = _database(path)
         for whole in batches:
-            sizes = np.array([len(x) if x.is_valid else 0 for x in whole.column(kept)], np.int64)
-            at = 0
-            while at < whole.num_rows:
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _ROWS, side="right")))
-                batch, size = whole.slice(at, n), sizes[at : at + n]
-                tok = batch.column(kept).flatten()
-                out: list[bytes] = [b""] * n
-                if len(tok):
-                    con.register("ids", pa.table({"doc": np.repeat(np.arange(n), size), "pos": np.arange(len(tok)), "tok": tok}))
-                    for doc, data in con.execute(DECODE_SQL).fetchall():
-                        out[doc] = bytes.fromhex(data)
-                    con.unregister("ids")
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
-                at += n
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                lists = pa.array([x or [] for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoded(con, lists)], [*batch.schema.names, "decoded"])
+        give_back()
 
     return run
 
 
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """The rows of (doc_id, ids) with `decoded`, the bytes of the ids; null ids decode to no bytes."""
-    return df.select("doc_id", "ids").mapInArrow(_decoded(ranks_path, 1), "doc_id long, ids array<int>, decoded binary")
-
-
-class Runs:
-    """Bytes of the id runs of pieces: each distinct run goes through the ordered aggregate once, a text is its runs in order."""
-
-    def __init__(self, con):
-        self.con, self.memo = con, {}
-
-    def learn(self, runs: set[bytes]) -> None:
-        new = [r for r in runs if r not in self.memo]
-        if len(self.memo) + len(new) > _MEMO_PIECES:
-            self.memo.clear()
-            new = list(runs)
-        at = 0
-        while at < len(new):
-            part, size = [], 0
-            while at < len(new) and (not part or size < _ROWS):
-                part.append(new[at])
-                size += len(new[at]) // 4
-                at += 1
-            n = np.array([len(r) // 4 for r in part])
-            tok = np.frombuffer(b"".join(part), np.int32)
-            self.con.register("ids", pa.table({"doc": np.repeat(np.arange(len(part)), n), "pos": np.arange(len(tok)), "tok": tok}))
-            for doc, data in self.con.execute(DECODE_SQL).fetchall():
-                self.memo[part[doc]] = bytes.fromhex(data)
-            self.con.unregister("ids")
-
-
-def _transcoded(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split, known = regex.compile(pattern).findall, Pieces(path)
-        back = Runs(known.con)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [split(t or "") for t in batch.column(1).to_pylist()]
-                distinct: set[str] = set().union(*texts)
-                known.learn(distinct)
-                memo = known.memo
-                back.learn({memo[p] for p in distinct})
-                bytes_of = back.memo
-                runs = [[memo[p] for p in pieces] for pieces in texts]
-                ids = [b"".join(r) for r in runs]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                decoded = pa.array([b"".join([bytes_of[x] for x in r]) for r in runs], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))), decoded], ["doc_id", "ids", "decoded"])
-
-    return run
+    return df.select("doc_id", "ids").mapInArrow(_decoded(ranks_path), "doc_id long, ids array<int>, decoded binary")
 
 
 def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`encode` and then `decode` in one pass: one database in a task, and a run of ids that a piece gave is decoded once."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_transcoded(ranks_path, pattern), "doc_id long, ids array<int>, decoded binary")
+    """`encode`, and `decode` of each document's ids, in one pass over one database in a task."""
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded(ranks_path, pattern, True), "doc_id long, ids array<int>, decoded binary")
 
 
 def op9_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,28 @@ def test_pieces_and_packing(spark, odd_texts):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_words_whose_letters_the_tokenizer_changes_before_marks():
+    """Letters that come apart into a letter and a mark, jamo that come together, capitals and signs, each before and between marks."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, ids = Tokenizer.from_file(path), packing.WordIds(path, memo_bytes=20_000)
+    odd = ["kedİ", "\u0958", "x\u09dcy", "\u1100\u1161", "한국어", "日本語", "Привет", "ΑΣ", "ß", "éa\u0301", "a\u0301", "ǅx", "ﬁx", "don't", "3rd", "a1", "€5", "ªº", "ſ", "K", "\u0345", "नमस्ते", "שלום", "\u2126", "ŉ"]
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice([*odd, "word", "The", "<|endoftext|>", "<|"]) + rng.choice(["", ",", ". ", " ", "!? ", "'s ", "...", "|>", "\n", "\u0301. "]) for _ in range(12))
+        words = packing._words(text.encode())
+        ids.learn(set(words))
+        assert list(np.frombuffer(ids.encode(words), "<u4")) == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_ranks_of_one_common_length(spark):
+    """Pieces of one length in many buckets still get every place once."""
+    rows = packing.pack(docs(spark, ["one two"] * 500 + [None] * 300), P.path("word_bpe_49k.json"), ranked=16).collect()
+    assert len(rows) == 800 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 800
+    assert len({r["sequence_id"] for r in rows}) == 1
+
+
 def test_fullest_equals_brute_force():
     rng = random.Random(2)
     for _ in range(200):
@@ -356,6 +378,30 @@ def test_bpe_equals_tiktoken(spark, odd_texts):
     assert byte_bpe.decode(byte_bpe.encode(df.limit(0), path, P.PATTERN), path).count() == 0
 
 
+def test_bpe_of_white_space_of_every_kind(spark):
+    """Words between single spaces take their ids from a memo; runs, edges and other white space don't upset it, nor does a memo that is always full."""
+    import tiktoken
+
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(3)
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    known = byte_bpe.Pieces(path, P.PATTERN, memo_bytes=4000)
+    space = [" "] * 12 + ["\n", "\n", "\n\n", "\n\n\n", "  ", "\t", " \n", "\n ", "\u00a0", "\u2003", "\x1c", "\x00", "\r\n", "\x85", ""]
+    for _ in range(60):
+        texts = ["".join(rng.choice(["it's", "don't", "Word", "x1y", "é", "日本", "12,5", "...", "\u0301", "ª", "_", "zyzzyva"]) + rng.choice(space) for _ in range(rng.randint(0, 14))) for _ in range(6)]
+        texts += [rng.choice(space) + t for t in texts]
+        ids = byte_bpe._lists(known.encode(texts))
+        assert ids.to_pylist() == [ref.encode_ordinary(t) for t in texts], texts
+        assert byte_bpe.decoded(known.con, ids).to_pylist() == [t.encode() for t in texts]
+
+
+def test_decoding_follows_the_order_of_the_ids(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    ids = spark.createDataFrame([(1, [1026, 338]), (2, [338, 1026]), (3, []), (4, None)], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in byte_bpe.decode(ids, path).collect()}
+    of = {v: k for k, v in byte_bpe.read_ranks(path).items()}
+    assert got == {1: of[1026] + of[338], 2: of[338] + of[1026], 3: b"", 4: b""}
+
+
 # ---- 10
 
 

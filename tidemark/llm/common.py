@@ -24,19 +24,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set a local one only where none is configured and everything runs in this process (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it; a local one only where none is configured and everything runs in this process (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.split("[")[0] == "local":
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return f"file://{shared.removeprefix('file:')}" if shared.startswith(("/", "file:/")) and "://" not in shared else shared
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the reliable checkpoint folder and go on from there, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -84,15 +87,15 @@ class Memo:
     def __init__(self, size: int, entry: int = 180):
         self.bound, self.entry, self.held, self.new, self.old = size // 2, entry, 0, {}, {}
 
-    def turn(self, keys: set) -> None:
+    def turn(self, keys: Iterable) -> None:
         if self.held > self.bound:
             self.old, self.new, self.held = self.new, {}, 0
         self.recall(keys)
 
-    def recall(self, keys: set) -> None:
+    def recall(self, keys: Iterable) -> None:
         if self.old:
-            old = self.old
-            known = [k for k in keys.difference(self.new) if k in old]
+            old, new = self.old, self.new
+            known = [k for k in keys if k in old and k not in new]
             self.update(known, [old[k] for k in known])
 
     def update(self, keys: list, values: list) -> None:

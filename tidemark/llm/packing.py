@@ -17,21 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, read_table, slices
 
 CAPACITY = 2048
-#: Pieces of one length that are ranked together, on average.
-RANKED = 1 << 18
+#: Pieces of one length that are ranked together, on average: so many, or this part of all pieces if that is more.
+RANKED, RANKED_PART = 512, 100_000
 #: Bytes that the words kept in a task may take.
-_MEMO_BYTES = 64 << 20
+_MEMO_BYTES = 80 << 20
 #: Runs of marks that are kept.
 _MARK_RUNS = 10_000
 #: ASCII marks that may follow the letters of a word; an apostrophe may begin a piece of its own, so it is none.
 _MARKS = b".,;:!?$%&#*|()[]{}\"+-/<>=@^_~"
-_LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch  # a-z, ß-ö, ø-ÿ
 
 
 @functools.lru_cache(maxsize=1)
@@ -88,14 +89,14 @@ class WordIds:
             raise ValueError("a word without an end")
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Afterwards `self.memo.new` has the ids of all `words`."""
+    def learn(self, words: list[bytes]) -> None:
+        """Afterwards `self.memo.new` has the ids of all `words`, which are distinct."""
         self.memo.turn(words)
         memo, marks = self.memo.new, self.marks
-        new = list(words.difference(memo))
+        new = [w for w in words if w not in memo]
         cores = [w.rstrip(_MARKS) for w in new]
-        steady = {c for c in set(cores) if c.isalpha() and c.islower() or c and (_LATIN(t := c.decode()) or all(map(self._steady, t)))}  # bytes: isalpha() is for ASCII
-        plain = list(steady.difference(memo))
+        steady = {c for c in set(cores) if c and (_LATIN(c) or not c.isascii() and all(map(self._steady, c.decode())))}
+        plain = [c for c in steady if c not in memo]
         self.memo.update(plain, self._plain(b" ".join(plain).decode().split(" ")) if plain else [])
         odd = [w for w, c in zip(new, cores, strict=True) if c not in steady]
         self.memo.update(odd, self._each([w.decode() for w in odd]))
@@ -106,25 +107,38 @@ class WordIds:
         if len(marks) > _MARK_RUNS:
             marks.clear()
 
-    def encode(self, words: list[bytes]) -> bytes:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a binary array, as 32-bit integers. Words are told apart by Arrow; each distinct one is looked up once."""
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        known = pc.ascii_lower(texts.cast(pa.string()))
+        known = pc.if_else(special, texts.cast(pa.string()), known) if pc.any(special).as_py() else known
+        lists = pc.ascii_split_whitespace(pc.fill_null(known, ""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if pc.any(special).as_py():  # special tokens count as written
+            words = [w if b"<|" in w else w.lower() for w in words]
+            self.learn(list(set(words)))
+        else:
+            self.learn(words)
         memo = self.memo.new
-        return b"".join([memo[w] for w in words])
-
-
-def _words(text: bytes) -> list[bytes]:
-    """Words of a text with A-Z in lower case; special tokens count as written."""
-    return [w if b"<|" in w else w.lower() for w in text.split()] if b"<|" in text else text.lower().split()
+        ids = [memo[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        long = size[place]
+        ends = np.cumsum(long)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[place] - (ends - long), long)
+        out, bounds = flat[at].tobytes(), (np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4).tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
-        for batch in slices(batches, 1):
-            texts = [_words(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            ids.learn(set().union(*texts))
+        words = WordIds(path)
+        for batch in slices(batches, 1, 8 << 20):
             out: list[tuple] = []
-            for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                data = ids.encode(words) + b"\0\0\0\0"
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).cast(pa.binary())), strict=True):
+                data = ids + b"\0\0\0\0"
                 step = 4 * capacity
                 out += [(doc_id, k, k * capacity, len(part := data[k * step : (k + 1) * step]) // 4, zlib.crc32(part)) for k in range(-(-len(data) // step))]
             doc, piece, start, length, crc = zip(*out, strict=True) if out else ((),) * 5
@@ -212,15 +226,16 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ranked: i
     empty texts are a piece of one token, repeated rows are packed each, an empty table gives no rows, null keys are kept,
     and other columns are left out. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The driver sees a count per length (at most `capacity` rows). A length is dealt into buckets of about `ranked` pieces; ranks
-    come from a count per (length, bucket) plus a row number inside the bucket, so no length gathers in one task. What is
-    broadcast are those counts: at most `capacity` + pieces / `ranked` rows of three numbers, 16 bytes for 100,000 pieces or so.
+    The driver sees a count per length (at most `capacity` rows). A length is dealt into buckets of about `ranked` pieces, or the
+    RANKED_PART-th part of all; ranks come from a count per (length, bucket) plus a row number inside the bucket, so no length gathers in one
+    task. What is broadcast are those counts: at most `capacity` + RANKED_PART rows of three numbers, some 10 MB, whatever the input.
     """
     spark, docs = df.sparkSession, df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = cut(docs.mapInArrow(_pieces(tokenizer_path, capacity), schema))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     spots = places(plan(histogram, capacity))
+    ranked = max(ranked, sum(histogram.values()) // RANKED_PART)
     parts = spark.createDataFrame([(k, -(-n // ranked)) for k, n in histogram.items()], "length long, _parts long")
     rows = pieces.join(F.broadcast(parts), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_parts")).drop("_parts")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

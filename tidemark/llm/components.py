@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Rows of one key that a task may get at least, and keys with more than that which are told to every task at most.
+HOT_ROWS, HOT_KEYS = 512, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), where a key may have very many rows on the left and has one or a few on the right.
+
+    `counted`, a written table whose columns the left has, tells how many. A key with more than a threshold of its rows, HOT_ROWS or
+    the HOT_KEYS-th part of all, is dealt into parts of that size, and its rows on the right are copied to each. So at most HOT_KEYS
+    keys are broadcast, whatever the input, and there are at most as many copies.
+    """
+    most = max(HOT_ROWS, (n := counted.count()) // HOT_KEYS)
+    if n <= most:
+        return left.join(right, key, how)
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).alias("_parts"))
+    hot = cut(hot)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*counted.columns), "_parts"), F.lit(0))).drop("_parts")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links `a`, `b` reach, for every node with a link.
 
@@ -18,15 +41,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     edges = cut(pairs.union(pairs.select("v", "u")).distinct())
-    roots = edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
+    roots = cut(edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
     step = 0
     while not edges.isEmpty():
         order = F.xxhash64(F.col("v"), F.lit(step)) if step % 2 else F.col("v")
         own = F.xxhash64(F.col("u"), F.lit(step)) if step % 2 else F.col("u")
         nearest = edges.groupBy("u").agg(F.min(F.struct(order.alias("h"), F.col("v").alias("id"))).alias("m")).select("u", F.least(F.col("m"), F.struct(own.alias("h"), F.col("u").alias("id")))["id"].alias("p"))
-        roots = cut(roots.join(nearest.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        moved = edges.join(nearest, "u").select(F.col("p").alias("pu"), "v").join(nearest.withColumnRenamed("u", "v"), "v").select(F.col("pu").alias("u"), F.col("p").alias("v"))
+        nearest = cut(nearest)
+        roots = cut(spread_join(roots, nearest.withColumnRenamed("u", "root"), "root", roots, "left").select("node", F.coalesce("p", "root").alias("root")))
+        moved = cut(spread_join(edges, nearest, "u", edges).select(F.col("p").alias("pu"), "v"))
+        moved = spread_join(moved, nearest.withColumnRenamed("u", "v"), "v", moved).select(F.col("pu").alias("u"), F.col("p").alias("v"))
         edges = cut(moved.filter("u <> v").distinct())
         step += 1
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(least, "root").select("node", "component")
+    return spread_join(roots, least, "root", roots).select("node", "component")

@@ -21,14 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
-from .components import connected_components
+from .common import cut, give_back, read_table, slices
+from .components import connected_components, spread_join
 
 #: At similarity 0.8 a pair agrees on fewer than 36 of 64 coordinates with a chance below one in 100,000.
 COORDS, MATCHES = 64, 36
-_MEMO_WORDS = 400_000
-#: Ids up to which they are broadcast (longs, so some tens of MB), and classes in a block on average.
-BROADCAST_IDS, BLOCK = 1_000_000, 256
+#: Bytes that the words kept in a task may take.
+_MEMO_BYTES = 32 << 20
+#: Ids up to which they are broadcast (longs, so some tens of MB); classes, and shingles of their sets, in a block on average.
+BROADCAST_IDS, BLOCK, BLOCK_SHINGLES = 1_000_000, 256, 1 << 18
 
 
 def _family(coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,9 +42,13 @@ def _family(coords: int) -> tuple[np.ndarray, np.ndarray]:
 class _WordHashes(dict):
     """64-bit hashes of words, kept for the words met lately."""
 
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO_WORDS:
+        if self.held > _MEMO_BYTES:
             self.clear()
+            self.held = 0
+        self.held += len(word) + 180
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -67,7 +72,7 @@ def _sketch(words: int, coords: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (mul, add) = _WordHashes(), _family(coords)
         mul, add = mul[:, None], add[:, None]
-        for batch in batches:
+        for batch in slices(batches, 1):
             sizes, contents, sigs = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 h = shingle_hashes(text.as_py(), words, memo)
@@ -93,7 +98,7 @@ def sketches(df: DataFrame, words: int, coords: int = COORDS) -> DataFrame:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [shingle_hashes(t.as_py(), words, memo).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
@@ -114,7 +119,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int, similarity: fl
     side = lambda s: classes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(sized).filter(agree >= matches).select("a", "b").distinct()
+    pairs = cut(pairs)  # a hub is in very many pairs
+    return spread_join(pairs.join(side("a"), "a"), side("b"), "b", pairs).filter(sized).filter(agree >= matches).select("a", "b").distinct()
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, words: int) -> DataFrame:
@@ -129,7 +135,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(_shingle_sets(docs, wanted, 2 * pairs.count(), words))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = spread_join(pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b", pairs)
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -172,6 +178,8 @@ def _linked_blocks(percent: int, matches: int):
                 common = np.array([len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
             link = 100 * common >= percent * (n_a[i, 0] + n_b[0, j] - common)
             found = np.stack([left["id"].to_numpy()[i[link]], right["id"].to_numpy()[j[link]]], axis=1)
+            del sets_a, sets_b
+        give_back()
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -181,14 +189,15 @@ def _cross_links(listed: DataFrame, main: DataFrame, docs: DataFrame, classes: D
     """Every link between two components that a list brings together, exactly.
 
     Classes outside a list's largest component (minor ones) may link to any class of the list. Classes are dealt into blocks
-    of about BLOCK by the component they are near; blocks that share a list, one of them minor, meet once, count
+    of about BLOCK classes, or BLOCK_SHINGLES shingles, by the component they are near; blocks that share a list, one of them minor, meet once, count
     agreeing coordinates on whole signatures and confirm on full sets. Only links leave a block, never pairs.
     """
     seen = listed.join(main.select("key", "main", "n"), "key")
     near = F.max(F.struct(F.col("n"), F.col("main"))).alias("near")
     ids = seen.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"), near)
     ids = ids.select("id", "comp", "minor", F.when(F.col("minor"), F.col("near.main")).otherwise(F.col("comp")).alias("g"))
-    sizes = ids.groupBy("g", "minor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    weighed = ids.join(classes.select("id", "n_shingles"), "id")
+    sizes = weighed.groupBy("g", "minor").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
     ids = ids.join(sizes, ["g", "minor"]).select("id", "comp", "minor", F.xxhash64("g", "minor", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
     ids = cut(ids)
     spread = listed.select("key", "id").join(ids.select("id", "block", "minor"), "id").select("key", "block", "minor").distinct()

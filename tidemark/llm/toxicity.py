@@ -12,17 +12,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 from .ftrl import Ftrl, fold_of, labelled_sample, sigmoid
 
 #: Labelled rows that training reads at most; features need so many toxic rows, and that share of toxic ones.
 SAMPLE, SUPPORT, SHARE, EPOCHS = 20_000, 3, 0.6, 12
 THRESHOLD = 0.5
-_MEMO_WORDS = 300_000
+#: Bytes that the words kept in a task may take.
+_MEMO_BYTES = 48 << 20
 #: Letters that look-alike characters stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
 #: Letters the model tells apart: 0 is the end of a word, 1 any other letter.
@@ -44,7 +46,7 @@ _SPACED = re.compile(rf"(?<!\w)(?:[^\W\d_]|[{_SIGN}])(?:{_GAP}(?:[^\W\d_]|[{_SIG
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**3, np.int64)
-    for batch in batches:
+    for batch in slices(batches, 0):
         for text in batch.column(0):
             t = text.as_py()
             if not t:
@@ -76,49 +78,60 @@ def _code(letter: str) -> int:
     return c or 1
 
 
+def _options(ch: str, before: str) -> list[tuple[str, float]]:
+    """What a character may stand for, with costs; "" leaves it out, a space ends a reading."""
+    if ch in " .-_":
+        return [("", _COST["drop_space"]), (" ", _COST["keep_space"])]
+    if ch == before:
+        return [("", _COST["drop_repeat"]), *((x, _COST["keep_repeat"] + _COST["lookalike"] * (ch in LOOKALIKES)) for x in LOOKALIKES.get(ch, ch))]
+    if ch in LOOKALIKES:
+        return [(x, _COST["lookalike"]) for x in LOOKALIKES[ch]]
+    return [(ch, 0.0)] if ch.isalpha() else [(" ", 0.0)]
+
+
 def restore(word: str, model: np.ndarray) -> str:
-    """The best reading of a lower-case word or of spaced-out letters; readings part at kept spaces."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The best reading of a lower-case word or of spaced-out letters, of any length; readings part at kept spaces.
+
+    A state is the last two letters; each step keeps, for a state, its cost, the state before and the letter read, and the
+    path is followed back at the end.
+    """
+    now: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     before = ""
     for ch in word:
-        if ch in " .-_":
-            options = [("", _COST["drop_space"]), (" ", _COST["keep_space"])]
-        elif ch == before:
-            options = [("", _COST["drop_repeat"]), *((x, _COST["keep_repeat"] + _COST["lookalike"] * (ch in LOOKALIKES)) for x in LOOKALIKES.get(ch, ch))]
-        elif ch in LOOKALIKES:
-            options = [(x, _COST["lookalike"]) for x in LOOKALIKES[ch]]
-        elif ch.isalpha():
-            options = [(ch, 0.0)]
-        else:
-            options = [(" ", 0.0)]
-        before = ch
-        then: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, out) in best.items():
-            for x, more in options:
+        then: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for x, more in _options(ch, before):
+            for (a, b), cost in now.items():
                 if x == "" or x == " " and b == 0:
-                    state, c = (a, b), cost + more
-                    x = ""
+                    state, c, read = (a, b), cost + more, ""
                 else:
                     k = 0 if x == " " else _code(x)
-                    state, c = (b, k), cost + more - float(model[a, b, k])
-                if state not in then or c < then[state][0]:
-                    then[state] = (c, out + x)
-        best = then
-    return min((cost - float(model[a, b, 0]) * (b > 0), out) for (a, b), (cost, out) in best.items())[1]
+                    state, c, read = (b, k), cost + more - float(model[a, b, k]), x
+                if state not in then or c < then[state]:
+                    then[state], back[state] = c, ((a, b), read)
+        now, before = then, ch
+        steps.append(back)
+    state = min(now, key=lambda s: (now[s] - float(model[s[0], s[1], 0]) * (s[1] > 0), s))
+    out = []
+    for back in reversed(steps):
+        state, read = back[state]
+        out.append(read)
+    return "".join(reversed(out))
 
 
 class Restorer:
     """Features of words: restored readings and their first 4 to 6 letters."""
 
     def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None):
-        self.model, self.wanted, self.memo = model, wanted, {}
+        self.model, self.wanted, self.memo, self.held = model, wanted, {}, 0
 
     def readings(self, word: str) -> list[str]:
         low = word.lower()
         found = _RUNS.findall(low)
         part = low.strip(_EDGE)
         if _DISGUISED.search(part):
-            found += restore(part[:64], self.model).split() if len(part) <= 64 else [r for k in range(0, len(part), 48) for r in restore(part[k : k + 64], self.model).split()]
+            found += restore(part, self.model).split()
         return found
 
     @staticmethod
@@ -128,10 +141,12 @@ class Restorer:
     def of_word(self, word: str) -> tuple:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) >= _MEMO_WORDS:
+            if self.held > _MEMO_BYTES:
                 self.memo.clear()
+                self.held = 0
             names = self.named(self.readings(word))
             got = self.memo[word] = tuple(names) if self.wanted is None else tuple({self.wanted[x] for x in names if x in self.wanted})
+            self.held += 2 * len(word) + 220 + (80 * len(got) if self.wanted is None else 0)
         return got
 
     def of_text(self, text: str | None) -> set:
@@ -141,44 +156,54 @@ class Restorer:
             if got := self.of_word(word):
                 out.update(got)
         for m in _SPACED.finditer(text.lower()):
-            letters = re.sub(_GAP, " ", m.group())
-            for k in range(0, len(letters), 96):
-                names = self.named(restore(letters[k : k + 128], self.model).split())
-                out.update(names if self.wanted is None else {self.wanted[x] for x in names if x in self.wanted})
+            names = self.named(restore(re.sub(_GAP, " ", m.group()), self.model).split())
+            out.update(names if self.wanted is None else {self.wanted[x] for x in names if x in self.wanted})
         return out
 
 
 def _featured(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(r.of_text(t.as_py())) for t in batch.column(1)], pa.list_(pa.string()))], ["doc_id", "label", "features"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], float]:
+def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Weights by feature, and the bias under the empty name."""
+    rows = pdf.sort_values(["order", "doc_id"])
+    found = [list(x) for x in rows["features"]]
+    names = sorted({f for x in found for f in x})
+    at = {f: k + 1 for k, f in enumerate(names)}
+    fit = Ftrl(len(names) + 1, alpha=0.5, beta=1.0, l1=0.5, l2=0.1)
+    data = [(np.array([0, *(at[f] for f in x)]), int(y > 0)) for x, y in zip(found, rows["label"], strict=True)]
+    for _ in range(EPOCHS):
+        for idx, y in data:
+            fit.update(idx, np.ones(len(idx)), y)
+    w = fit.weights()
+    return pd.DataFrame({"f": ["", *(f for f in names if w[at[f]])], "w": [w[0], *(w[at[f]] for f in names if w[at[f]])]})
+
+
+def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "toxic", sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[dict[str, float], float]:
     """Weights by feature, and the bias, from at most `sample` labelled rows.
 
     Spark counts in how many toxic and other texts of the sample each feature occurs and keeps those that point to toxic
-    texts; the fit over what is left of the sample, a few features a row, is small by that bound.
+    texts. The fit over what is left of the sample, a few features a document, is one task of at most `sample` rows; its
+    weights come to the driver, at most as many as features of at least SUPPORT toxic documents of the sample. Without labelled rows all scores are one half.
+    Rows that repeat a doc_id count each when features are counted, and as one document with the features of all in the fit.
     """
     picked = F.broadcast(labelled_sample(labels, label, sample))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(picked, "doc_id").select("doc_id", "text", "label")
     rows = rows.mapInArrow(_featured(model), "doc_id long, label int, features array<string>")
     found = rows.select("doc_id", "label", F.explode("features").alias("f"))
     telling = found.groupBy("f").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")).filter((F.col("t") >= SUPPORT) & (F.col("t") >= SHARE * F.col("n"))).select("f")
     hits = found.join(telling, "f").groupBy("doc_id").agg(F.sort_array(F.collect_set("f")).alias("features"))
-    data = docs.select("doc_id").join(picked, "doc_id").dropDuplicates(["doc_id"]).join(hits, "doc_id", "left").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    names = sorted({f for r in data for f in r["features"] or ()})
-    at = {f: k + 1 for k, f in enumerate(names)}
-    fit = Ftrl(len(names) + 1, alpha=0.5, beta=1.0, l1=0.5, l2=0.1)
-    for _ in range(EPOCHS):
-        for r in data:
-            idx = np.array([0, *(at[f] for f in r["features"] or ())])
-            fit.update(idx, np.ones(len(idx)), int(r["label"] > 0))
-    w = fit.weights()
-    return {f: float(w[k]) for f, k in at.items() if w[k]}, float(w[0])
+    none = F.array().cast("array<string>")
+    data = docs.select(F.col(key).cast("long").alias("doc_id")).join(picked, "doc_id").dropDuplicates(["doc_id"]).join(hits, "doc_id", "left").select("doc_id", "label", F.coalesce("features", none).alias("features"), F.xxhash64("doc_id").alias("order"))
+    weights = {r["f"]: r["w"] for r in data.groupBy(F.lit(0).alias("all")).applyInPandas(_fitted, "f string, w double").collect()}
+    bias = weights.pop("", 0.0)
+    return weights, bias
 
 
 def _scored(model: np.ndarray, weights: dict[str, float], bias: float):
@@ -186,7 +211,7 @@ def _scored(model: np.ndarray, weights: dict[str, float], bias: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, values = Restorer(model, {f: k for k, f in enumerate(names)}), list(weights.values())
-        for batch in batches:
+        for batch in slices(batches, 1):
             scores = [float(sigmoid(bias + sum(values[k] for k in sorted(r.of_text(t.as_py()))))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 

@@ -1,19 +1,19 @@
 """WARC records in ZIP packages: a writer, and a reader that finds records by the package's directories and indexes.
 
 A package is a ZIP file of stored members: archive/data.warc.gz, one gzip member a record, and indexes/index.cdxj, a line a
-record with its offset and length. The reader parses the end record, the ZIP64 locator and end record, and the central
-directory (with ZIP64 fields), goes to the stored members by their local headers, and reads each record by its range;
-nothing is extracted. Packages are rows of a table (name, content), so they live wherever Spark can write, and packages
-that lie in files are read through Spark's binaryFile source.
+record with its offset and length. Tasks write packages as files into a folder that all share, on any file system that Arrow opens by its address. The reader opens
+a file for random access, parses the end record, the ZIP64 locator and end record, and the central
+directory (with ZIP64 fields), goes to the stored members by their local headers, streams the index and reads each record by its range;
+nothing is extracted, and what a task holds is a record and a piece of an index, however large the file.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -21,14 +21,16 @@ from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, shared_dir, slices
+from .components import spread_join
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Compressed bytes after which a package is closed.
-PACKAGE_BYTES = 16 << 20
+#: Compressed bytes, or records, after which a package is closed.
+PACKAGE_BYTES, PACKAGE_RECORDS = 64 << 20, 50_000
 #: Fixed values of the formats.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,57 +66,84 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 class Package:
-    """A package in the making."""
+    """A package in the making, written as it grows; only its index lines are held."""
 
-    def __init__(self) -> None:
-        self.data, self.lines = io.BytesIO(), []
+    def __init__(self, folder: str):
+        store, at = fs.FileSystem.from_uri(folder)
+        name = f"{uuid.uuid4().hex}.wacz"  # a task that runs twice writes two files; the table of addresses has one of them
+        self.path, self.size, self.lines = f"{folder}/{name}", 0, []
+        self.out = store.open_output_stream(f"{at}/{name}")
+        self.zip = zipfile.ZipFile(_Written(self.out), "w", zipfile.ZIP_STORED, allowZip64=True)
+        self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
 
     def add(self, url: str | None, digest: str, data: bytes) -> None:
         packer = zlib.compressobj(5, zlib.DEFLATED, 31)
         part = packer.compress(data) + packer.flush()
-        entry = {"url": url or "", "digest": f"sha1:{digest}", "offset": self.data.tell(), "length": len(part), "filename": "data.warc.gz"}
+        entry = {"url": url or "", "digest": f"sha1:{digest}", "offset": self.size, "length": len(part), "filename": "data.warc.gz"}
         self.lines.append(f"{json.dumps(url or '')[1:-1].replace(' ', '%20')} {DATE[:19].replace('-', '').replace('T', '').replace(':', '')} {json.dumps(entry)}\n")
         self.data.write(part)
+        self.size += len(part)
 
-    def content(self) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-            for name, data in ((DATA, self.data.getbuffer()), (INDEX, "".join(sorted(self.lines)).encode())):
-                with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as f:
-                    f.write(data)
-        return out.getvalue()
+    def full(self) -> bool:
+        return self.size >= PACKAGE_BYTES or len(self.lines) >= PACKAGE_RECORDS
 
+    def close(self) -> pa.RecordBatch:
+        """Write the index and the directory; the address and the number of records."""
+        self.data.close()
+        with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as f:
+            f.writelines(x.encode() for x in sorted(self.lines))
+        self.zip.close()
+        self.out.close()
+        return pa.RecordBatch.from_arrays([pa.array([self.path]), pa.array([len(self.lines)], pa.int64())], ["path", "records"])
 
-def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def row() -> pa.RecordBatch:
-        content = package.content()
-        return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest() + ".wacz"]), pa.array([content], pa.binary())], ["name", "content"])
 
-    package = Package()
-    for batch in batches:
-        for page_id, url, html, refers_to in zip(*(c.cast(pa.binary()) if i == 2 else c for i, c in enumerate(batch.columns)), strict=True):
-            payload = html.as_py() or b""
-            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            package.add(url.as_py(), digest, record(page_id.as_py(), url.as_py(), payload, digest, refers_to.as_py()))
-            if package.data.tell() >= PACKAGE_BYTES:
-                yield row()
-                package = Package()
-    if package.lines:
-        yield row()
+class _Written:
+    """A stream that can't seek, as zipfile wants it: it then writes sizes behind the data."""
+
+    def __init__(self, out: BinaryIO):
+        self.out = out
+
+    def write(self, data: bytes) -> int:
+        self.out.write(data)
+        return len(data)
+
+    def flush(self) -> None:
+        self.out.flush()
 
 
-def write_packages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(name, content) packages of the pages (page_id, url, html).
+def _written(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        package = None
+        for batch in slices(batches, 2):
+            for page_id, url, html, refers_to in zip(*(c.cast(pa.binary()) if i == 2 else c for i, c in enumerate(batch.columns)), strict=True):
+                package = package or Package(folder)
+                payload = html.as_py() or b""
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                package.add(url.as_py(), digest, record(page_id.as_py(), url.as_py(), payload, digest, refers_to.as_py()))
+                if package.full():
+                    yield package.close()
+                    package = None
+        if package:
+            yield package.close()
+
+    return run
+
+
+def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+    """(path, records) of the packages written below `folder`, an address that all executors can write to, from pages (page_id, url, html).
 
     Of pages with equal payloads of at least `min_bytes` bytes, those with the smallest page_id are responses and the others
-    revisits of it. Null html is an empty payload. Rows without a page_id are responses. Equal payloads meet by digest in a
-    grouped minimum; the join back is one that Spark can split where a payload is very common.
+    revisits of it. Null html is an empty payload. Rows without a page_id are responses. An empty table writes nothing. Equal payloads meet by digest in a
+    grouped minimum of ids, without their texts; the way back is a join that deals out payloads which very many pages have.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = rows.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    rows = rows.join(first, "sha", "left").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
-    return rows.mapInArrow(_written, "name string, content binary")
+    rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "large": F.octet_length("html") >= min_bytes})
+    counted = cut(rows.select("page_id", "sha", "large"))
+    first = counted.filter("large").groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    rows = spread_join(rows, first, "sha", counted, "left").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at, recursive=True)
+    return cut(rows.mapInArrow(_written(folder), "path string, records long"))
 
 
 # ---- reading
@@ -139,7 +168,7 @@ class ZipDirectory:
         self.file = file
         self.size = file.seek(0, 2)
         count, size, start = self._end()
-        self.members = {m.name: m for m in self._central(self._read(start, size), count)}
+        self.members = {m.name: m for m in self._central(start, size, count)}
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -166,18 +195,19 @@ class ZipDirectory:
             count, size, start = struct.unpack_from("<QQQ", data, 32)
         return count, size, start
 
-    @staticmethod
-    def _central(data: bytes, count: int) -> Iterator[Member]:
-        at = 0
+    def _central(self, at: int, size: int, count: int) -> Iterator[Member]:
+        """The entries one by one, so a directory of very many isn't held."""
+        end = at + size
         for _ in range(count):
-            if data[at : at + 4] != CENTRAL:
+            fixed = self._read(at, 46)
+            if fixed[:4] != CENTRAL or at + 46 > end:
                 raise ZipError("a broken central directory")
-            flags, method = struct.unpack_from("<HH", data, at + 8)
-            packed, size = struct.unpack_from("<II", data, at + 20)
-            n_name, n_extra, n_note = struct.unpack_from("<HHH", data, at + 28)
-            header = struct.unpack_from("<I", data, at + 42)[0]
-            name = data[at + 46 : at + 46 + n_name].decode("utf-8" if flags & 0x800 else "cp437")
-            extra, k = data[at + 46 + n_name : at + 46 + n_name + n_extra], 0
+            flags, method = struct.unpack_from("<HH", fixed, 8)
+            packed, size = struct.unpack_from("<II", fixed, 20)
+            n_name, n_extra, n_note = struct.unpack_from("<HHH", fixed, 28)
+            header = struct.unpack_from("<I", fixed, 42)[0]
+            rest = self._read(at + 46, n_name + n_extra)
+            name, extra, k = rest[:n_name].decode("utf-8" if flags & 0x800 else "cp437"), rest[n_name:], 0
             while k + 4 <= len(extra):
                 kind, n = struct.unpack_from("<HH", extra, k)
                 if kind == 1:  # ZIP64: only the fields that are full in the entry, in this order
@@ -208,6 +238,15 @@ class ZipDirectory:
             raise ZipError("a range outside the member")
         return self._read(self.start(name) + offset, length)
 
+    def lines(self, name: str, size: int = 1 << 20) -> Iterator[bytes]:
+        """The lines of a stored member, `size` bytes read at a time."""
+        at, end, rest = self.start(name), self.members[name].size, b""
+        for k in range(0, end, size):
+            *whole, rest = (rest + self._read(at + k, min(size, end - k))).split(b"\n")
+            yield from whole
+        if rest:
+            yield rest
+
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (names in lower case) and block of a WARC record."""
@@ -223,8 +262,8 @@ def package_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Every record that the indexes of a package list, each read by its range."""
     zipped = ZipDirectory(file)
     for index in (n for n in zipped.members if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx"))):
-        for line in zipped.read(index).decode().splitlines():
-            entry = json.loads(line.split(" ", 2)[2])
+        for line in zipped.lines(index):
+            entry = json.loads(line.decode().split(" ", 2)[2])
             part = zipped.read(f"archive/{entry['filename']}", int(entry["offset"]), int(entry["length"]))
             yield parse_record(zlib.decompress(part, 31))
 
@@ -237,41 +276,44 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     for batch in batches:
-        for content in batch.column(0):
+        for path in batch.column(0).to_pylist():
             rows: list[tuple] = []
             held = 0
 
             def out(rows: list[tuple]) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-            for headers, block in package_records(io.BytesIO(content.as_buffer())):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                kind = headers["warc-type"]
-                if kind == "response" and (size != len(payload) or digest != base64.b32encode(hashlib.sha1(payload).digest()).decode()):
-                    raise ValueError(f"damaged payload of {headers['warc-record-id']}")
-                rows.append((_page(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest, kind, _page(headers.get("warc-refers-to")), payload if kind == "response" else None))
-                held += len(payload)
-                if held > 8 << 20:
-                    yield out(rows)
-                    rows, held = [], 0
+            store, at = fs.FileSystem.from_uri(path)
+            with store.open_input_file(at) as file:
+                for headers, block in package_records(file):
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
+                    kind = headers["warc-type"]
+                    if kind == "response" and (size != len(payload) or digest != base64.b32encode(hashlib.sha1(payload).digest()).decode()):
+                        raise ValueError(f"damaged payload of {headers['warc-record-id']}")
+                    rows.append((_page(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest, kind, _page(headers.get("warc-refers-to")), payload if kind == "response" else None))
+                    held += len(payload)
+                    if held > 4 << 20 or len(rows) >= 10_000:
+                        yield out(rows)
+                        rows, held = [], 0
             if rows:
                 yield out(rows)
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """Records of packages (content): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits)."""
-    return packages.select("content").mapInArrow(_records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    """Records of package files (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits)."""
+    return packages.select("path").mapInArrow(_records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def read_package_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of package files below a path, on any file system Spark reads."""
-    return read_packages(spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(path))
+    """Records of the package files below a path. Spark lists the files, a task for each or so; their contents are read by range only."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(path).select("path")
+    return read_packages(files.repartition(spark.sparkContext.defaultParallelism * 4))
 
 
 def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = cut(write_packages(read_table(spark, sf_dir, "pages")))
+    packages = write_packages(read_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}")
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

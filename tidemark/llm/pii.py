@@ -181,7 +181,8 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequ
 
     clean = _marked("spans", mark)
     rows = rows.select("doc_id", "text", *with_it, "base", "spans", clean.alias("clean"))
-    rest = found.filter(F.size("base") == 0).select("doc_id", "text", *with_it, "base", C("base").alias("spans"), C("text").alias("clean"))
+    none = F.array().cast(_SPAN)  # not `base` once more, which would look for its spans again
+    rest = found.filter(F.size("base") == 0).select("doc_id", "text", *with_it, none.alias("base"), none.alias("spans"), C("text").alias("clean"))
     return rows.unionByName(rest)
 
 

@@ -14,6 +14,8 @@ from .common import read_table
 #: Fixed values of the published generator: key = key * 2862933555777941757 + 1 modulo 2**64.
 MULTIPLIER = 2862933555777941757
 LOW32 = 0xFFFFFFFF
+#: Steps between two looks at whether a key has arrived.
+CHUNK = 8
 C_HI, C_LO = MULTIPLIER >> 32, MULTIPLIER & LOW32
 
 
@@ -28,7 +30,11 @@ def _times_c_plus_1(hi: Column, lo: Column) -> tuple[Column, Column]:
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """Shard 0 .. shards-1 of a long key (null: key 0). Each step moves forward by one shard at least, so `shards` steps are enough."""
+    """Shard 0 .. shards-1 of a long key (null: key 0).
+
+    Each step moves forward by one shard at least, so `shards` steps are enough, but about the logarithm of `shards` are taken: steps go in
+    runs of CHUNK, and a key that has arrived leaves the other runs out.
+    """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     key = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
@@ -45,7 +51,9 @@ def jump_hash(key: Column, shards: int) -> Column:
         moved = F.struct(hi.alias("hi"), lo.alias("lo"), s["j"].alias("b"), jump.cast("long").alias("j"))
         return F.when(s["j"] < F.lit(shards), moved).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
+    run = F.sequence(F.lit(1), F.lit(min(shards, CHUNK)))
+    chunk = lambda s, _: F.when(s["j"] < F.lit(shards), F.aggregate(run, s, step)).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(-(-shards // CHUNK))), start, chunk, lambda s: s["b"].cast("int"))
 
 
 def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, buckets: int = 1021) -> DataFrame:

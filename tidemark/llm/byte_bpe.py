@@ -5,8 +5,11 @@ recursive query joins neighbouring tokens with the merge table and contracts eac
 until no piece has a pair left. Decoding joins the ids of each document with the vocabulary and puts the bytes together in an ordered
 aggregate. Words met lately keep their ids, so a word goes through the database once per task or so.
 
-A piece takes as many rounds as it has merges, over its own rows: the work grows with the square of a single
-piece's length, which is a run of letters, digits, marks or white space; texts of any length are linear.
+One contraction a round is right for words, but a run of n letters would take n rounds of n rows. Long pieces are contracted in
+many places a round. Each token has a time, the largest rank in its making, and a pair the largest of its rank and its tokens' times; the
+text tells which vocabulary tokens could reach over a pair's ends. If none that reaches into the pair from the left, or out of it to the right, has a
+rank up to the pair's time, nothing that is contracted earlier can touch the pair, so it may go at once. The tokens that a
+long piece holds are looked up once. A piece that no pair is proven for goes through the plain query.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import Memo, give_back, read_table, slices
 _MEMO_BYTES = 80 << 20
 #: Token rows that go through one query; more are cut between pieces or documents.
 _ROWS = 400_000
+#: Bytes from which a piece counts as long.
+LONG = 200
 
 #: `start` has a row (piece, pos, tok) for each byte, pos counting through all pieces, and a row with token -1 behind each piece.
 ENCODE_SQL = """
@@ -42,6 +47,37 @@ WITH RECURSIVE state(piece, pos, tok, done) AS (
 )
 SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE done AND tok >= 0 GROUP BY piece ORDER BY piece
 """
+#: `held` has a row (s, e, rank) for each place where a piece spells a vocabulary token of two bytes or more, from position s up to e.
+#: In a run of equal tokens every other pair may go, the leftmost first, as far as no pair before it has to wait.
+LONG_SQL = """
+WITH RECURSIVE state(piece, pos, tok, t, done) AS (
+  SELECT piece, pos, tok, -1, 0 FROM start
+  UNION ALL
+  (WITH rows AS MATERIALIZED (
+    SELECT piece, pos, tok, t, lead(tok) OVER w AS ntok, lead(t) OVER w AS nt, lead(pos) OVER w AS m, lead(pos, 2) OVER w AS e, lag(pos) OVER w AS before,
+      sum(CASE WHEN tok = before_tok THEN 0 ELSE 1 END) OVER w AS run
+    FROM (SELECT *, lag(tok) OVER (ORDER BY pos) AS before_tok FROM state WHERE done = 0) WINDOW w AS (ORDER BY pos)),
+  numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS idx FROM rows),
+  pairs AS MATERIALIZED (
+    SELECT p.piece, p.pos, p.m, p.e, p.before, p.run, p.idx, p.tok = p.ntok AS same, x.merged AS r, greatest(x.merged, p.t, p.nt) AS tau
+    FROM numbered p JOIN merges x ON x.l = p.tok AND x.r = p.ntok),
+  waiting AS MATERIALIZED (
+    SELECT c.pos, c.run, c.idx, c.same FROM pairs c JOIN held h ON h.e = c.m JOIN rows a ON a.pos = h.s
+    WHERE h.s < c.pos AND h.rank <= c.tau AND NOT (c.same AND c.idx > 0 AND c.idx % 2 = 0 AND h.rank = c.r AND h.s = c.before)
+    UNION
+    SELECT c.pos, c.run, c.idx, c.same FROM pairs c JOIN held h ON h.s = c.m JOIN rows a ON a.pos = h.e
+    WHERE h.e > c.e AND h.rank <= c.tau AND NOT (h.rank = c.r AND c.tau = c.r)),
+  blocked AS (SELECT run, min(idx) AS idx FROM waiting WHERE same AND idx % 2 = 0 GROUP BY run),
+  sure AS MATERIALIZED (
+    SELECT c.piece, c.pos, c.m, c.r, c.tau FROM pairs c LEFT JOIN blocked b ON b.run = c.run
+    WHERE c.pos NOT IN (SELECT pos FROM waiting) AND NOT (c.same AND (c.idx % 2 = 1 OR coalesce(b.idx <= c.idx, false)))),
+  ends AS (SELECT p.piece, CASE WHEN count(s.piece) = 0 THEN 2 ELSE 0 END AS done FROM (SELECT DISTINCT piece FROM pairs) p LEFT JOIN (SELECT DISTINCT piece FROM sure) s ON s.piece = p.piece GROUP BY p.piece)
+  SELECT p.piece, p.pos, coalesce(s.r, p.tok), coalesce(s.tau, p.t), coalesce(x.done, 1)
+  FROM rows p LEFT JOIN sure s ON s.pos = p.pos LEFT JOIN ends x ON x.piece = p.piece
+  WHERE p.pos NOT IN (SELECT m FROM sure))
+)
+SELECT piece, CASE WHEN max(done) = 1 THEN list(tok ORDER BY pos) END AS ids FROM state WHERE done > 0 AND tok >= 0 GROUP BY piece ORDER BY piece
+"""
 DECODE_SQL = "SELECT doc, list(v.bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary v ON v.id = ids.tok GROUP BY doc ORDER BY doc"
 
 
@@ -76,10 +112,11 @@ class Pieces:
     white space, or runs of it, are parted by the pattern as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, memo_bytes: int = _MEMO_BYTES):
+    def __init__(self, path: str, pattern: str, memo_bytes: int = _MEMO_BYTES, long: int = LONG):
         import regex
 
         self.con, self.ranks = _database(path)
+        self.long, self.begins = long, set()
         self.split = regex.compile(pattern).findall
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.memo = Memo(memo_bytes)
@@ -139,32 +176,56 @@ class Pieces:
         memo = self.memo.new
         known: list[str] = []
         ids: list[bytes] = []
-        part: list[tuple[str, bytes]] = []
-        size = 0
+        parts: list[list[tuple[str, bytes]]] = [[], []]
+        size = [0, 0]
         for p in pieces.difference(memo):
             data = p[2:].encode() if p[0] == "\x00" else b" " + p.encode()
             if (whole := self.ranks.get(data)) is not None:
                 known.append(p)
                 ids.append(whole.to_bytes(4, "little"))
                 continue
-            part.append((p, data))
-            size += len(data)
-            if size > _ROWS:
-                self._contract(part)
-                part, size = [], 0
+            long = len(data) >= self.long
+            parts[long].append((p, data))
+            size[long] += len(data)
+            if size[long] > _ROWS:
+                self._contract(parts[long], long)
+                parts[long], size[long] = [], 0
         self.memo.update(known, ids)
-        if part:
-            self._contract(part)
+        for long, part in enumerate(parts):
+            if part:
+                self._contract(part, bool(long))
+
+    def _held(self, data: bytes, at: int) -> list[tuple[int, int, int]]:
+        """(s, e, rank) of every vocabulary token of two bytes or more that a piece at position `at` spells."""
+        if not self.begins:
+            self.begins.update(t[:k] for t in self.ranks for k in range(2, len(t) + 1))
+        out, begins, ranks = [], self.begins, self.ranks
+        for s in range(len(data) - 1):
+            e = s + 2
+            while e <= len(data) and (part := data[s:e]) in begins:
+                if (rank := ranks.get(part)) is not None:
+                    out.append((at + s, at + e, rank))
+                e += 1
+        return out
 
-    def _contract(self, part: list[tuple[str, bytes]]) -> None:
+    def _contract(self, part: list[tuple[str, bytes]], long: bool = False) -> None:
         size = np.array([len(d) + 1 for _, d in part], np.int64)
         tok = np.full(int(size.sum()), -1, np.int32)
         inside = np.ones(len(tok), bool)
         inside[np.cumsum(size) - 1] = False
         tok[inside] = self.bytes[np.frombuffer(b"".join(d for _, d in part), np.uint8)]
         self.con.register("start", pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-        found = self.con.sql(ENCODE_SQL).to_arrow_table().column(1).combine_chunks()
+        if long:
+            held = [x for (_, d), at in zip(part, (np.cumsum(size) - size).tolist(), strict=True) for x in self._held(d, at)]
+            self.con.register("held", pa.table({n: pa.array([x[k] for x in held], pa.int32()) for k, n in enumerate(("s", "e", "rank"))}))
+        found = self.con.sql(LONG_SQL if long else ENCODE_SQL).to_arrow_table().column(1).combine_chunks()
         self.con.unregister("start")
+        if long:
+            self.con.unregister("held")
+            if found.null_count:
+                self._contract([x for x, ids in zip(part, found.is_null().to_pylist(), strict=True) if ids])
+            part = [x for x, ids in zip(part, found.is_null().to_pylist(), strict=True) if not ids]
+            found = found.drop_null()
         flat, ends = found.flatten().to_numpy().astype(np.int32).tobytes(), (found.offsets.to_numpy() * 4).tolist()
         self.memo.update([p for p, _ in part], [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)])
 

@@ -608,6 +608,31 @@ def test_bpe_of_white_space_of_every_kind(spark):
         assert byte_bpe.decoded(known.con, ids).to_pylist() == [t.encode() for t in texts]
 
 
+def test_bpe_of_long_pieces():
+    """Many places a round: equal to tiktoken for pieces of every length and kind, and linear for runs of 100,000 letters."""
+    import tiktoken
+
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(9)
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    known = byte_bpe.Pieces(path, P.PATTERN, long=3)
+    plain = []
+    contract = known._contract
+    known._contract = lambda part, long=False: plain.extend(p for p, d in part if not long and len(d) > 3) or contract(part, long)
+    words = "the of international information representative aaaa zzz understanding".split()
+    makers = [
+        lambda: "".join(rng.choice("abcdefg") for _ in range(60)), lambda: rng.choice("a=- #") * rng.randint(3, 200), lambda: "".join(rng.choice(words) for _ in range(8)), lambda: "".join(rng.choice("ab") for _ in range(50)),
+        lambda: "".join(chr(rng.choice([0xE9, 0x4E00 + rng.randint(0, 99), 0x1F600])) for _ in range(20)), lambda: rng.choice(words)[: rng.randint(1, 5)] * rng.randint(2, 20), lambda: "".join(rng.choice("!?.,-=") * rng.randint(1, 5) for _ in range(15)),
+    ]
+    texts = [make() for make in makers for _ in range(80)]
+    assert byte_bpe._lists(known.encode(texts)).to_pylist() == [ref.encode_ordinary(t) for t in texts]
+    assert len(plain) < 0.02 * len(texts)
+    known = byte_bpe.Pieces(path, P.PATTERN)
+    known._contract = lambda part, long=False: contract(part, long) if long else pytest.fail("a long piece went through the plain query")
+    contract = byte_bpe.Pieces._contract.__get__(known)
+    for t in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "x" * 100_000):
+        assert byte_bpe._lists(known.encode([t])).to_pylist() == [ref.encode_ordinary(t)]
+
+
 def test_decoding_follows_the_order_of_the_ids(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     ids = spark.createDataFrame([(1, [1026, 338]), (2, [338, 1026]), (3, []), (4, None)], "doc_id long, ids array<int>")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr as X
 from tidemark.operators import asof, features, ledger, metrics, models, quality, regime, reports, sizing
 from tidemark.sources import filings, io
+from tidemark.streaming import daily
 
 DAYS = [d.date() for d in pd.bdate_range("2021-01-04", periods=100)]
 
@@ -82,7 +83,7 @@ def test_asof_keeps_left_rows(spark):
 def test_sessions_after_close_weekend_and_end(spark):
     cal = asof.numbered_calendar(spark.createDataFrame([(d,) for d in DAYS[:6]], "date date"))
     news = spark.createDataFrame([("2021-01-04 20:59:00",), ("2021-01-04 21:00:00",), ("2021-01-09 12:00:00",), ("2021-01-12 12:00:00",)], "t string").withColumn("created_at", F.to_timestamp("t"))
-    got = [r["trading_day"] for r in asof.assign_to_trading_days(news, cal).orderBy("t").collect()]
+    got = [r["session_date"] for r in asof.assign_to_sessions(news, cal).orderBy("t").collect()]
     assert got == [dt.date(2021, 1, 4), dt.date(2021, 1, 5), dt.date(2021, 1, 11), None]
 
 
@@ -170,7 +171,7 @@ def test_form4(spark):
 
 
 def test_roles(spark):
-    titles = {"CEO": "CEO", "Chief Financial Officer": "CFO", "COO and Director": "COO", "Director": "Director", "VP of Marketing": "VP of Marketing", "President": "President"}
+    titles = {"CEO": "CEO", "Chief Financial Officer": "CFO", "COO and Director": "COO", "Director": "Director", "VP of Marketing": "VP of Marketing", "President": "President", "C.E.O.": "CEO", "Interim c.f.o": "CFO", "C.O.O.": "COO", "C.T.O.": "CTO", "Chief Technical Officer": "CTO"}
     got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", X.role_from_title(F.col("t")).alias("r")).collect()
     assert {r["t"]: r["r"] for r in got} == titles
 
@@ -180,7 +181,7 @@ def test_logs_and_experiments(spark, tmp_path):
     assert io.read_trade_log(spark, str(tmp_path / "log.jsonl")).count() == 1
     assert io.read_log_with_errors(spark, str(tmp_path / "log.jsonl")).count() == 2
     (tmp_path / "e").mkdir()
-    (tmp_path / "e" / "x.json").write_text('{"experiment": "x",\n "mas": {"metrics": {"sharpe": 0.9}, "window_results": [{"iteration": 1, "total_return": 2.0}]}, "buy_and_hold": {"sharpe": 0.7}}')
+    (tmp_path / "e" / "x.json").write_text('{"experiment": "x",\n "strategy": {"metrics": {"sharpe": 0.9}, "window_results": [{"iteration": 1, "total_return": 2.0}]}, "buy_and_hold": {"sharpe": 0.7}}')
     e = io.read_experiments(spark, str(tmp_path / "e" / "*.json"))
     assert e.first()["n_windows"] == 1 and e.first()["file"] == "x.json"
     assert reports.window_table(e).first()["total_return"] == 2.0
@@ -223,3 +224,82 @@ def test_forest_and_hmm(spark):
 def test_headlines(spark):
     df = spark.createDataFrame([("profit beats",), ("weak loss",), ("board meets",), (None,)], "headline string")
     assert {r["headline"]: r["score"] for r in models.score_headlines(df).collect()} == {"profit beats": 1.0, "weak loss": 0.0, "board meets": 0.5, None: None}
+
+
+def test_folds_are_contiguous_blocks_of_each_label(spark):
+    rng = np.random.default_rng(4)
+    rows = [(DAYS[int(i)], f"s{n}", float(y)) for n, (i, y) in enumerate(zip(rng.integers(0, 30, 300), rng.integers(0, 2, 300), strict=True))] + [(DAYS[3], "none", None)]
+    df = spark.createDataFrame(rows, "date date, symbol string, y double")
+    got = {r["symbol"]: r["fold"] for r in models.with_folds(df, "y", 5, ["date", "symbol"]).collect()}
+    for label in (0.0, 1.0, None):
+        ordered = sorted((d, s) for d, s, y in rows if y == label)
+        assert [got[s] for _, s in ordered] == [min(k * 5 // len(ordered), 4) for k in range(len(ordered))]
+
+
+def test_isotonic_calibration_equals_pooled_neighbours(spark):
+    rng = np.random.default_rng(5)
+    m = np.sort(rng.normal(size=60))
+    y = (m + rng.normal(size=60) > 0).astype(float)
+    blocks = []  # pool adjacent violators, one by one
+    for v in y:
+        blocks.append([v, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (a, n), (b, k) = blocks[-2:]
+            blocks[-2:] = [[(a * n + b * k) / (n + k), n + k]]
+    want = np.repeat([v for v, _ in blocks], [n for _, n in blocks])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(m, y, strict=True)], "m double, y double")
+    curve = models.fit_calibration(df, "m", "y", "isotonic")
+    got = df.select("m", curve(F.col("m")).alias("p"), curve(F.col("m") - 100).alias("low"), curve(F.col("m") + 100).alias("high")).orderBy("m").toPandas()
+    assert got["p"].to_numpy() == pytest.approx(want) and set(got["low"]) == {want[0]} and set(got["high"]) == {want[-1]}
+
+
+@pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
+def test_models_calibrated_over_folds(spark, method):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400)
+    rows = [(DAYS[i % 100], f"s{i // 100}", float(v), float(v + rng.normal() / 2 > 0)) for i, v in enumerate(x)] + [(DAYS[0], "none", None, None)]
+    df = spark.createDataFrame(rows, "date date, symbol string, x double, target_binary double")
+    model = models.LogisticModel(["x"], target="p", k=4, method=method).fit(df)
+    got = model.predict(df).toPandas()
+    known = got[got["x"].notna()]
+    assert len(model.folds) == 4 and got["p"].isna().sum() == 1 and known["p"].between(0, 1).all()
+    assert ((known["p"] > 0.5) == (known["target_binary"] > 0)).mean() > 0.8
+    assert not models.LogisticModel(["x"], k=4).fit(df.limit(30)).folds
+    trees = models.CalibratedClassifier(["x"], trees=2, depth=2, k=2, method=method).fit(df).predict(df).toPandas()
+    assert ((trees["probability"] > 0.5) == (trees["target_binary"] > 0))[trees["x"].notna()].mean() > 0.8
+
+
+def test_sessions_that_are_and_were(spark):
+    cal = spark.createDataFrame([(d,) for d in DAYS[:3]], "date date")
+    df = spark.createDataFrame([(dt.date(2021, 1, d),) for d in (2, 4, 6, 7, 30)], "d date")
+    got = {r["d"].day: (r["is_session"], r["last_session"] and r["last_session"].day) for r in asof.last_session(asof.is_session(df, "d", cal), "d", cal).collect()}
+    assert got == {2: (False, None), 4: (True, 4), 6: (True, 6), 7: (False, 6), 30: (False, 6)}
+
+
+def test_the_sink_over_several_batches(spark, tmp_path):
+    keys, schema, path = ["k"], "k int, v int", f"file://{tmp_path}/t"
+    sink = daily.upsert_sink(spark, path, keys, schema)
+    read = lambda p=path: sorted(map(tuple, daily.read_upserted(spark, p, keys, schema).collect()))
+    assert read() == []
+    batches = [[(1, 1), (2, 1)], [(2, 2), (3, 2), (3, 3)], [(1, 9)]]
+    for n, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schema), n)
+    sink(spark.createDataFrame(batches[1], schema), 1)  # a batch that is tried again
+    assert read() == [(1, 9), (2, 2), (3, 3)]
+    daily.compact(spark, path, f"file://{tmp_path}/u", keys, schema, 1)
+    assert read(f"file://{tmp_path}/u") == [(1, 9), (2, 2), (3, 3)]
+
+
+def test_curves_without_a_panel_equal_the_filled_panel(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, DAYS[i], float(rng.uniform(5, 20)) if rng.random() > 0.1 else None) for s in "ABCDE" for i in range(60) if rng.random() > 0.4 or (s in "AB" and i == 0)]
+    rows += [("Z", DAYS[0], -1.0), ("Z", DAYS[9], 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double")
+    pdf = pd.DataFrame(rows, columns=["symbol", "date", "close"]).pivot(index="date", columns="symbol", values="close").sort_index()
+    first, filled = pdf.iloc[0], pdf.ffill()
+    want = pd.concat([(0.9992 * filled[s].fillna(first[s]) / first[s]) if first[s] > 0 else pd.Series(1.0, filled.index) for s in pdf], axis=1).mean(axis=1) * 10_000
+    got = ledger.buy_and_hold(df).orderBy("date").toPandas()
+    assert got["equity"].to_numpy() == pytest.approx(want.to_numpy())
+    curve, _ = ledger.sma_crossover(df, 2, 4)
+    sleeves = ledger.sma_sleeves(df, 2, 4, 10_000 / pdf.shape[1]).toPandas().pivot(index="date", columns="symbol", values="equity").sort_index().ffill()
+    assert curve.orderBy("date").toPandas()["equity"].to_numpy() == pytest.approx(sleeves.sum(axis=1).to_numpy())

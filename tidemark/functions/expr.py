@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Officer titles that name a role, in the order in which they are looked for.
 ROLES = ["CEO", "CFO", "COO", "CTO", "PRESIDENT", "DIRECTOR"]
 ROLE_NAMES = {"PRESIDENT": "President", "DIRECTOR": "Director"}
-LONG_TITLES = {"CHIEF EXECUTIVE": "CEO", "CHIEF FINANCIAL": "CFO", "CHIEF OPERATING": "COO", "CHIEF TECHNOLOGY": "CTO"}
+LONG_TITLES = {"CHIEF EXECUTIVE": "CEO", "C.E.O": "CEO", "CHIEF FINANCIAL": "CFO", "C.F.O": "CFO", "CHIEF OPERATING": "COO", "C.O.O": "COO", "CHIEF TECHNOLOGY": "CTO", "CHIEF TECHNICAL": "CTO", "C.T.O": "CTO"}
 
 
 def by_symbol(key: str = "symbol", order: str = "date") -> WindowSpec:

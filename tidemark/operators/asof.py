@@ -50,11 +50,11 @@ def next_session(df: DataFrame, day: str, calendar: DataFrame, target: str = "se
     return df.join(F.broadcast(session_map(calendar).select(F.col("day").alias(day), F.col("session").alias(target))), day, "left")
 
 
-def assign_to_trading_days(news: DataFrame, calendar: DataFrame, at: str = "created_at", zone: str = "America/New_York", close_hour: int = 16) -> DataFrame:
-    """`trading_day` of a UTC instant: the local date, the next one from the closing hour on, then the first session from there."""
+def assign_to_sessions(news: DataFrame, calendar: DataFrame, at: str = "created_at", zone: str = "America/New_York", close_hour: int = 16) -> DataFrame:
+    """`session_date` of a UTC instant: the local date, the next one from the closing hour on, then the first session from there."""
     local = F.from_utc_timestamp(F.col(at), zone)
     day = F.when(F.hour(local) >= close_hour, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
-    return next_session(news.withColumn("_day", day), "_day", calendar, "trading_day").drop("_day")
+    return next_session(news.withColumn("_day", day), "_day", calendar, "session_date").drop("_day")
 
 
 def add_business_days(df: DataFrame, date: str, n: int, calendar: DataFrame, target: str) -> DataFrame:
@@ -62,3 +62,16 @@ def add_business_days(df: DataFrame, date: str, n: int, calendar: DataFrame, tar
     base = session_map(calendar).select(F.col("day").alias(date), F.col("idx").alias("_idx"))
     later = calendar.select((F.col("idx") - n).alias("_idx"), F.col("date").alias(target))
     return df.join(F.broadcast(base), date, "left").join(F.broadcast(later), "_idx", "left").drop("_idx")
+
+
+def is_session(df: DataFrame, day: str, calendar: DataFrame, target: str = "is_session") -> DataFrame:
+    """Whether `day` is a session of the calendar (date, ...)."""
+    sessions = calendar.select(F.col("date").alias(day), F.lit(True).alias("_in")).distinct()
+    return df.join(sessions, day, "left").withColumn(target, F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def last_session(df: DataFrame, day: str, calendar: DataFrame, target: str = "last_session") -> DataFrame:
+    """The last session at or before `day`; null before the first one."""
+    days = df.select(day).distinct().select(F.col(day).alias("date"))
+    found = asof_backward(days, calendar.select("date", F.col("date").alias("session")), [], "date", "session", target)
+    return df.join(found.withColumnRenamed("date", day), day, "left")

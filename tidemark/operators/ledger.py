@@ -11,22 +11,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import by_symbol, ratio
-from .asof import asof_backward, densify, forward_fill
+from .asof import asof_backward
 from .features import sma
 
 C = F.col
 
 
+def filled_sum(rows: DataFrame, value: str, days: DataFrame) -> DataFrame:
+    """(date, total): the sum over symbols of each one's last `value` at or before the date, without a row for every symbol and date.
+
+    A symbol moves the sum by what its value changed, so changes add up by date and then run over the dates, which are
+    thousands. Rows are (symbol, date, value), values not null.
+    """
+    change = F.col(value) - F.coalesce(F.lag(value).over(by_symbol()), F.lit(0.0))
+    by_date = rows.select("date", change.alias("_d")).groupBy("date").agg(F.sum("_d").alias("_d"))
+    running = F.sum(F.coalesce("_d", F.lit(0.0))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return days.join(by_date, "date", "left").select("date", running.alias("total"))
+
+
 def buy_and_hold(bars: DataFrame, capital: float = 10_000.0, commission: float = 0.0008) -> DataFrame:
     """(date, equity): equal shares of the capital in every symbol at its close on the first date, less commission.
 
     A symbol without a valid price that day stays cash; gaps hold the last price. Slice the bars to a half-open range before.
     """
-    days, symbols = bars.select("date").distinct(), bars.select("symbol").distinct()
-    panel = forward_fill(densify(bars.select("symbol", "date", "close"), days, symbols), ["close"])
-    first = F.first("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    grown = F.when(first > 0, (1 - commission) * ratio(F.coalesce("close", first), first)).otherwise(F.lit(1.0))
-    return panel.select("date", grown.alias("g")).groupBy("date").agg((F.avg("g") * capital).alias("equity"))
+    days = bars.select("date").distinct()
+    first_day = F.broadcast(bars.agg(F.min("date").alias("_start")))  # one row
+    firsts = bars.groupBy("symbol").agg(F.min_by("close", "date").alias("_first"), F.min("date").alias("_from")).join(first_day, how="cross")
+    firsts = firsts.select("symbol", F.when((C("_from") == C("_start")) & (C("_first") > 0), C("_first")).alias("_first"))
+    count = F.broadcast(firsts.agg(F.count(F.lit(1)).alias("_n"), F.count("_first").alias("_in")))
+    held = bars.filter("close is not null").join(firsts.filter("_first is not null"), "symbol").select("symbol", "date", ((1 - commission) * C("close") / C("_first")).alias("g"))
+    grown = (C("total") + C("_n") - C("_in")) / C("_n")
+    return filled_sum(held, "g", days).join(count, how="cross").select("date", (grown * capital).alias("equity"))
 
 
 def sma_sleeves(bars: DataFrame, fast: int = 20, slow: int = 50, capital: float = 1.0, commission: float = 0.0008) -> DataFrame:
@@ -47,10 +62,9 @@ def sma_sleeves(bars: DataFrame, fast: int = 20, slow: int = 50, capital: float
 
 def sma_crossover(bars: DataFrame, fast: int = 20, slow: int = 50, capital: float = 10_000.0, commission: float = 0.0008, start: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
     """(date, equity) of all sleeves together, which compound from the first bar and are cut to `start` afterwards, and the number of trades."""
-    n = bars.select("symbol").distinct().count()
-    sleeves = sma_sleeves(bars, fast, slow, capital / max(n, 1), commission)
-    panel = forward_fill(densify(sleeves.select("symbol", "date", "equity"), sleeves.select("date").distinct(), sleeves.select("symbol").distinct()), ["equity"])
-    curve = panel.groupBy("date").agg(F.sum("equity").alias("equity"))
+    count = F.broadcast(bars.agg(F.countDistinct("symbol").alias("_n")))  # one row
+    sleeves = sma_sleeves(bars, fast, slow, 1.0, commission)
+    curve = filled_sum(sleeves, "equity", sleeves.select("date").distinct()).join(count, how="cross").select("date", (C("total") * capital / F.greatest("_n", F.lit(1))).alias("equity"))
     keep = F.lit(True) if start is None else C("date") >= F.lit(start)
     return curve.filter(keep), sleeves.filter(keep).agg(F.sum("flipped").cast("long").alias("n_trades"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import ratio
 
 C = F.col
+#: Returns up to this are rounding of equal values, no wins.
+LEAST_WIN = 1e-12
 DAYS = 252
 
 
@@ -57,7 +59,7 @@ def summary(curves: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
         F.round(sharpe(C("ret")), 3).alias("sharpe"),
         F.round(worst * 100, 2).alias("max_drawdown_pct"),
         F.round(F.coalesce(ratio(annual, F.abs(worst)), F.lit(0.0)), 3).alias("calmar"),
-        F.round(F.avg((C("ret") > 0).cast("double")) * 100, 2).alias("win_rate_pct"),
+        F.round(F.avg((C("ret") > LEAST_WIN).cast("double")) * 100, 2).alias("win_rate_pct"),
         F.count(F.lit(1)).alias("n_days"),
     )
 

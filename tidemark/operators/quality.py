@@ -27,13 +27,13 @@ def integrity_checks(bars: DataFrame, min_rows: int = 1000) -> DataFrame:
 
 def with_asset_class(df: DataFrame, universe: DataFrame, default: str = "equity") -> DataFrame:
     classes = universe.select("symbol", C("asset_class").alias("_class"))
-    return df.join(F.broadcast(classes), "symbol", "left").withColumn("asset_class", F.coalesce("_class", F.lit(default))).drop("_class")
+    return df.join(classes, "symbol", "left").withColumn("asset_class", F.coalesce("_class", F.lit(default))).drop("_class")
 
 
 def filter_asset_class(df: DataFrame, universe: DataFrame, asset_class: str = "equity") -> DataFrame:
     """Rows of the class's symbols; all rows if the universe (a dimension) has none of them."""
     wanted = universe.filter(C("asset_class") == asset_class).select("symbol")
-    return df if wanted.isEmpty() else df.join(F.broadcast(wanted), "symbol", "left_semi")
+    return df if wanted.isEmpty() else df.join(wanted, "symbol", "left_semi")
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -85,8 +85,9 @@ def assign_windows(df: DataFrame, windows: DataFrame, embargo: bool = True) -> D
     return rows.withColumn("_last", last).filter(~drop).drop("_last", "train_start", "train_end", "val_start", "val_end")
 
 
-def tag_period(date: Column, holdout_start: dt.date, paper_start: dt.date) -> Column:
-    return F.when(date < F.lit(holdout_start), F.lit("walkforward")).when(date < F.lit(paper_start), F.lit("holdout")).otherwise(F.lit("paper_trading"))
+def tag_period(date: Column, holdout_start: dt.date, paper_start: dt.date, names: Sequence[str] = ("walkforward", "holdout", "paper")) -> Column:
+    first, second, third = map(F.lit, names)
+    return F.when(date < F.lit(holdout_start), first).when(date < F.lit(paper_start), second).otherwise(third)
 
 
 def rebalance_flag(df: DataFrame, interval: int) -> DataFrame:

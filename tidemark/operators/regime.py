@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import guarded, ratio
-from .asof import asof_backward
+from .asof import asof_backward, densify
 from .features import returns, volume_ratio
 
 
@@ -66,13 +68,27 @@ def align_asof(series: DataFrame, dates: DataFrame, value: str = "close", target
     return asof_backward(dates, series, [], "date", value, target)
 
 
-def build_regime_features(bars: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per date: vol_5d, vol_20d, vol_60d, vix, avg_correlation, avg_volume_ratio, market_breadth."""
-    rets = daily_returns(bars)
-    out = align_asof(index, bars.select("date").distinct())
-    for part in (*(realized_vol(rets, w) for w in (5, 20, 60)), rolling_avg_correlation(rets), avg_volume_ratio(bars), market_breadth(rets)):
-        out = out.join(part, "date", "left")
-    return out
+def measures_by_date(bars: DataFrame, windows: Sequence[int] = (5, 20, 60), volume_window: int = 20) -> DataFrame:
+    """vol_{w}d, avg_volume_ratio and market_breadth of each date: one stage of windows over the symbols and one aggregate."""
+    rows = bars.select("symbol", "date", returns(1).alias("ret"), volume_ratio(volume_window).alias("vr"))
+    rows = rows.select("date", "ret", "vr", *[guarded(F.stddev_samp, F.col("ret"), w, max(w // 2, 3)).alias(f"v{w}") for w in windows])
+    up = F.sum(F.when(F.col("ret") > 0, 1.0).otherwise(F.when(F.col("ret").isNotNull(), 0.0)))
+    return rows.groupBy("date").agg(*[F.avg(f"v{w}").alias(f"vol_{w}d") for w in windows], F.avg("vr").alias("avg_volume_ratio"), ratio(up, F.count("ret").cast("double")).alias("market_breadth"))
+
+
+def build_regime_features(bars: DataFrame, index: DataFrame, correlation: bool = True) -> DataFrame:
+    """One row per date: vol_5d, vol_20d, vol_60d, vix, avg_correlation (if asked for), avg_volume_ratio, market_breadth."""
+    out = align_asof(index, measures_by_date(bars))
+    return out.join(rolling_avg_correlation(daily_returns(bars)), "date", "left") if correlation else out
+
+
+def common_returns(bars: DataFrame) -> DataFrame:
+    """(symbol, date, ret) on the dates of all symbols: a symbol's return where it and its date before have a close, else null.
+
+    The long form of a matrix of returns; dates and symbols are dimensions, so the panel is a row for each of both.
+    """
+    panel = densify(bars.select("symbol", "date", "close"), bars.select("date").distinct(), bars.select("symbol").distinct())
+    return daily_returns(panel)
 
 
 def train_percentile(df: DataFrame, col: str, p: float) -> DataFrame:

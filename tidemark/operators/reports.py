@@ -13,12 +13,12 @@ C = F.col
 
 
 def daily_sentiment(scores: DataFrame, agg: str = "mean") -> DataFrame:
-    return scores.groupBy("symbol", "trading_day").agg((F.median("score") if agg == "median" else F.avg("score")).alias("sentiment_raw"))
+    return scores.groupBy("symbol", "session_date").agg((F.median("score") if agg == "median" else F.avg("score")).alias("sentiment_raw"))
 
 
 def join_sentiment(features: DataFrame, sentiment: DataFrame) -> DataFrame:
     """Features with their day's sentiment; a missing one stays null."""
-    return features.join(sentiment.withColumnRenamed("trading_day", "date"), ["symbol", "date"], "left")
+    return features.join(sentiment.withColumnRenamed("session_date", "date"), ["symbol", "date"], "left")
 
 
 def sentiment_coverage(features: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..sources import filings as filed
 from ..sources import io
 from ..streaming import daily
 from . import adapters as A
-from .queries import CAL_SQL, HOLDOUT, SQL, START, WINDOWS, book_rows, days, kelly_rows, query, rounded
+from .queries import CAL_SQL, HOLDOUT, SQL, START, WINDOWS, W, book_rows, days, query, roll, rounded
 
 C = F.col
 
@@ -101,7 +103,7 @@ def replay_signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals of many runs: each asset class and signal threshold is an account of its own."""
     uni = A.universe(spark, d)
     full = features.compute_all_features(A.bars(spark, d)).select("symbol", "date", C("close").alias("price"), "atr", "close_norm")
-    rows = full.join(F.broadcast(uni), "symbol").withColumn("signal", F.greatest(F.least(0.5 + (C("close_norm") - 1) / 4, F.lit(1.0)), F.lit(0.0)))
+    rows = full.join(uni, "symbol").withColumn("signal", F.greatest(F.least(0.5 + (C("close_norm") - 1) / 4, F.lit(1.0)), F.lit(0.0)))
     rows = rows.withColumn("level", F.explode(F.array(*[F.lit(x) for x in (0.50, 0.55, 0.60, 0.65)])))
     f = sizing.kelly_size(C("signal"), F.lit(1.0), C("asset_class"), F.lit(0.5))
     return rows.select(F.concat_ws("|", "asset_class", "level").alias("run_id"), "symbol", "symbol_rank", "date", "price", F.coalesce("signal", F.lit(0.0)).alias("signal"), F.when(C("signal") >= C("level"), f).otherwise(F.lit(0.0)).alias("f_star"), F.lit(0).alias("veto"), "atr")
@@ -118,19 +120,42 @@ def replay_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(rows.filter("kind = 'equity'").select("run_id", "date", "equity")).join(ledger.close_stats(rows), "run_id")
 
 
-@query("unified_curve")
+#: Buy and hold as in its own query, to full precision.
+HOLD_SQL = """hf AS (SELECT s.symbol, c.date, b.close FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN (SELECT DISTINCT date FROM bars) c LEFT JOIN bars b ON b.symbol = s.symbol AND b.date = c.date),
+hg AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM hf),
+hh AS (SELECT *, first_value(v) OVER (PARTITION BY symbol ORDER BY date) AS v0 FROM hg),
+bh AS (SELECT date, avg(CASE WHEN v0 > 0 THEN 0.9992 * coalesce(v, v0) / v0 ELSE 1.0 END) AS equity FROM hh GROUP BY date)"""
+
+
+def _crossed(fast: int, slow: int, tag: str) -> str:
+    """SQL of the sum of sleeves with other means, under names of their own."""
+    f, t = roll("avg", "close", fast), roll("avg", "close", slow)
+    return f"""m{tag} AS (SELECT symbol, date, close, coalesce((({f}) > ({t}))::INT, 0) AS pos FROM bars WHERE close > 0),
+h{tag} AS (SELECT *, coalesce(lag(pos) OVER {W}, 0) AS held, coalesce(close / lag(close) OVER {W}, 1.0) AS move FROM m{tag}),
+s{tag} AS (SELECT symbol, date, exp(sum(CASE WHEN held = 1 THEN ln(move) ELSE 0 END + CASE WHEN pos <> held THEN ln(0.9992::DOUBLE) ELSE 0 END) OVER {W}) AS equity FROM h{tag}),
+d{tag} AS (SELECT date, sum(change) AS change FROM (SELECT date, equity - coalesce(lag(equity) OVER {W}, 0) AS change FROM s{tag}) GROUP BY date),
+c{tag} AS (SELECT date, sum(change) OVER (ORDER BY date) AS equity FROM d{tag})"""
+
+
+@query(
+    "unified_curve",
+    f"""WITH {A.BARS}, {_crossed(10, 30, "a")}, {_crossed(20, 50, "b")}, {HOLD_SQL},
+j AS (SELECT ca.date, ca.equity AS p, cb.equity AS s FROM ca ASOF LEFT JOIN cb ON ca.date >= cb.date), k AS (SELECT j.*, bh.equity AS b FROM j ASOF LEFT JOIN bh ON j.date >= bh.date)
+SELECT date, round(100 * p / first_value(p) OVER (ORDER BY date), 4) AS portfolio_value, round(100 * b / first_value(b) OVER (ORDER BY date), 4) AS buyhold_value, round(100 * s / first_value(s) OVER (ORDER BY date), 4) AS sma_value,
+  CASE WHEN date < DATE '2000-01-01' THEN 'walkforward' WHEN date < DATE '2001-01-01' THEN 'holdout' ELSE 'paper' END AS period FROM k""",
+)
 def unified(spark: SparkSession, d: str) -> DataFrame:
     import datetime as dt
 
     bars = A.bars(spark, d)
     strategy = ledger.sma_crossover(bars, 10, 30)[0]
-    return ledger.unified_curve(strategy, {"buyhold_value": ledger.buy_and_hold(bars), "sma_value": ledger.sma_crossover(bars)[0]}, dt.date(2000, 1, 1), HOLDOUT)
+    return rounded(ledger.unified_curve(strategy, {"buyhold_value": ledger.buy_and_hold(bars), "sma_value": ledger.sma_crossover(bars)[0]}, dt.date(2000, 1, 1), HOLDOUT), 4)
 
 
 def regime_rows(spark: SparkSession, d: str) -> DataFrame:
     """All market features of the equity symbols (of all symbols if there is no equity), held as they are read many times: a row a date."""
     bars, equity = A.bars(spark, d), A.universe(spark, d).filter("asset_class = 'equity'").select("symbol")
-    own = bars.join(F.broadcast(equity), "symbol", "left_semi")
+    own = bars.join(equity, "symbol", "left_semi")
     return regime.build_regime_features(bars if own.isEmpty() else own, A.index_series(spark, d)).persist()
 
 
@@ -138,7 +163,7 @@ def regime_rows(spark: SparkSession, d: str) -> DataFrame:
 def forest(spark: SparkSession, d: str) -> DataFrame:
     rows = regime_rows(spark, d)
     train = quality.date_slice(rows, START, WINDOWS[0][2])
-    return models.IsolationForest(walkforward.REGIME).fit(train).predict(models.standardize(rows, train, ["market_breadth"]).select(rows.columns)).select("date", "score")
+    return models.IsolationForest(walkforward.REGIME).fit(train).predict(rows).select("date", "score")
 
 
 @query("hmm_states")
@@ -147,11 +172,31 @@ def hidden_states(spark: SparkSession, d: str) -> DataFrame:
     return models.hmm_states(rows, walkforward.REGIME)
 
 
-@query("score_headlines")
+@query("anomaly_scores")
+def anomalies(spark: SparkSession, d: str) -> DataFrame:
+    """Forest and hidden states over every window's validation, and the lower score of both."""
+    rows, parts = regime_rows(spark, d), []
+    for iteration, train_start, train_end, val_start, val_end in WINDOWS:
+        model = models.IsolationForest(walkforward.REGIME).fit(quality.date_slice(rows, train_start, train_end))
+        parts.append(model.predict(quality.date_slice(rows, val_start, val_end)).select(F.lit(iteration).alias("iteration"), "date", C("score").alias("forest")))
+    scores = reduce(DataFrame.unionByName, parts)
+    states = hidden_states(spark, d).select("iteration", "date", "state_rank", C("score").alias("states"))
+    return scores.join(states, ["iteration", "date"]).withColumn("score", F.least("forest", "states"))
+
+
+_LISTS = {name: ", ".join(f"'{w}'" for w in words) for name, words in (("up", models.POSITIVE), ("down", models.NEGATIVE))}
+
+
+@query(
+    "score_headlines",
+    f"""WITH h AS (SELECT doc_id, list_filter(string_split_regex(lower(left(text, 512)), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, w IS NULL AS none, len(list_filter(w, lambda x: x IN ({_LISTS["up"]}))) AS up, len(list_filter(w, lambda x: x IN ({_LISTS["down"]}))) AS down FROM h)
+SELECT doc_id, CASE WHEN none THEN NULL WHEN up = down THEN 'neutral' WHEN up > down THEN 'positive' ELSE 'negative' END AS label, round(CASE WHEN none OR up = down THEN 0.5 WHEN up > down THEN 0.5 + (up - down) / (up + down)::DOUBLE / 2 ELSE 0.5 - (down - up) / (up + down)::DOUBLE / 2 END, 9) AS score FROM c""",
+)
 def headlines(spark: SparkSession, d: str) -> DataFrame:
-    words = F.element_at(F.array(*[F.lit(w) for w in ("profit beats forecast", "shares fall on weak loss", "board meets", "record growth")]), (C("event_id") % 4 + 1).cast("int"))
-    rows = A.table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", words).alias("headline"))
-    return models.score_headlines(rows).select("event_id", "label", "score")
+    """The begin of every document as a headline, by the default word lists."""
+    rows = A.table(spark, d, "documents").select("doc_id", C("text").alias("headline"))
+    return models.score_headlines(rows).select("doc_id", "label", F.round("score", 9).alias("score"))
 
 
 def model_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -191,9 +236,9 @@ def stream_news(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """One row per user and day, worked in by an idempotent sink."""
     out = io.work_dir(spark, "daily")
-    sink = daily.upsert_sink(spark, out, ["user_id", "date"], "user_id long, date date, value double")
-    daily.catch_up(event_stream(spark, d).select("user_id", C("ts").cast("date").alias("date"), "value"), sink, f"{out}-log")
-    return spark.read.parquet(f"{out}/gen=0")
+    keys, schema = ["user_id", "date"], "user_id long, date date, value double"
+    daily.catch_up(event_stream(spark, d).select("user_id", C("ts").cast("date").alias("date"), "value"), daily.upsert_sink(spark, out, keys, schema), f"{out}-log")
+    return daily.read_upserted(spark, out, keys, schema)
 
 
 @query("stream_running_book")

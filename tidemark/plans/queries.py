@@ -97,7 +97,7 @@ def slice_(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 2).alias("volume"))
 
 
-@query("tag_period", f"WITH {A.BARS} SELECT CASE WHEN date < DATE '1999-01-01' THEN 'walkforward' WHEN date < DATE '2001-01-01' THEN 'holdout' ELSE 'paper_trading' END AS period, count(*) AS n FROM bars GROUP BY 1")
+@query("tag_period", f"WITH {A.BARS} SELECT CASE WHEN date < DATE '1999-01-01' THEN 'walkforward' WHEN date < DATE '2001-01-01' THEN 'holdout' ELSE 'paper' END AS period, count(*) AS n FROM bars GROUP BY 1")
 def tags(spark: SparkSession, d: str) -> DataFrame:
     return A.bars(spark, d).groupBy(quality.tag_period(C("date"), dt.date(1999, 1, 1), dt.date(2001, 1, 1)).alias("period")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -176,10 +176,7 @@ FROM g ASOF LEFT JOIN idx i ON g.date >= i.date""",
 )
 def regime_features(spark: SparkSession, d: str) -> DataFrame:
     b = A.bars(spark, d)
-    rets = regime.daily_returns(b)
-    out = regime.align_asof(A.index_series(spark, d), b.select("date").distinct())
-    for part in (*(regime.realized_vol(rets, w) for w in (5, 20, 60)), regime.avg_volume_ratio(b), regime.market_breadth(rets)):
-        out = out.join(part, "date", "left")
+    out = regime.build_regime_features(b, A.index_series(spark, d), correlation=False)
     return out.select(*[F.round(c, 11 if c == "vix" else 6).alias(c) if c != "date" else C(c) for c in out.columns])
 
 
@@ -272,13 +269,13 @@ def dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "news_sessions",
     f"""WITH {A.NEWS}, {A.WEEKDAYS}, l AS (SELECT *, timezone('America/New_York', timezone('UTC', created_at)) AS t FROM news), dd AS (SELECT *, CASE WHEN hour(t) >= 16 THEN t::DATE + 1 ELSE t::DATE END AS day FROM l)
-SELECT symbol, cal.date AS trading_day, round(avg(score), 10) AS sentiment_raw, count(*) AS n FROM dd ASOF JOIN cal ON dd.day <= cal.date GROUP BY 1, 2""",
+SELECT symbol, cal.date AS session_date, round(avg(score), 10) AS sentiment_raw, count(*) AS n FROM dd ASOF JOIN cal ON dd.day <= cal.date GROUP BY 1, 2""",
 )
 def news_sessions(spark: SparkSession, d: str) -> DataFrame:
     cal = asof.numbered_calendar(A.weekdays(spark, d))
-    rows = asof.assign_to_trading_days(A.news(spark, d), cal).na.drop(subset=["trading_day"])
-    counts = rows.groupBy("symbol", "trading_day").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(reports.daily_sentiment(rows), 10).join(counts, ["symbol", "trading_day"])
+    rows = asof.assign_to_sessions(A.news(spark, d), cal).na.drop(subset=["session_date"])
+    counts = rows.groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(reports.daily_sentiment(rows), 10).join(counts, ["symbol", "session_date"])
 
 
 @query(
@@ -288,7 +285,7 @@ SELECT p.symbol, count(*) AS n_days, count(d.date) AS n_with_data, round(count(d
 )
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     n = A.news(spark, d)
-    sentiment = reports.daily_sentiment(n.filter("source = 'view'").withColumn("trading_day", F.to_date("created_at")), "median")
+    sentiment = reports.daily_sentiment(n.filter("source = 'view'").withColumn("session_date", F.to_date("created_at")), "median")
     panel = asof.densify(n.select("symbol", F.to_date("created_at").alias("date")).limit(0), A.weekdays(spark, d), n.select("symbol").distinct())
     return reports.sentiment_coverage(reports.join_sentiment(panel, sentiment))
 
@@ -329,7 +326,7 @@ n AS (SELECT date, symbol, asset_class, p, f, CASE WHEN sum(f2) OVER (PARTITION
 
 def kelly_rows(spark: SparkSession, d: str) -> DataFrame:
     b = A.bars(spark, d)
-    rows = quality.with_asset_class(b, A.universe(spark, d)).join(F.broadcast(sizing.gain_loss_ratio(regime.daily_returns(b))), "symbol")
+    rows = quality.with_asset_class(b, A.universe(spark, d)).join(sizing.gain_loss_ratio(regime.daily_returns(b)), "symbol")
     p = 0.3 + 0.6 * F.coalesce(X.ratio(C("close") - C("low"), C("high") - C("low")), F.lit(0.5))
     rows = rows.withColumn("p", p)
     return rows.select("date", "symbol", "asset_class", "p", sizing.kelly_size(C("p"), C("b"), C("asset_class"), F.lit(0.5)).alias("f"))
@@ -394,7 +391,7 @@ SELECT date, symbol AS ticker, CASE WHEN f > 0 THEN 'BUY' ELSE 'HOLD' END AS act
 )
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     b = sizing.gain_loss_ratio(regime.daily_returns(A.bars(spark, d)))
-    rows = kelly_rows(spark, d).join(F.broadcast(b), "symbol").select("date", "symbol", C("p").alias("probability"), "b", "asset_class", F.lit(0).alias("veto"))
+    rows = kelly_rows(spark, d).join(b, "symbol").select("date", "symbol", C("p").alias("probability"), "b", "asset_class", F.lit(0).alias("veto"))
     out = sizing.daily_decisions(rows)
     return rounded(out.select("date", "ticker", "action", "probability", "kelly_fraction", "reason", F.round(F.round("kelly_fraction", 8) * 10000, 1).alias("size")))
 
@@ -649,3 +646,161 @@ def run_delta(spark: SparkSession, d: str) -> DataFrame:
     g = experiments(spark, d).select((t % 5).cast("string").alias("stack"), t.alias("timestamp"), "sharpe", "max_drawdown")
     current = g.filter("timestamp >= 5").groupBy("stack").agg(F.max_by("sharpe", "timestamp").alias("sharpe"), F.max_by("max_drawdown", "timestamp").alias("max_drawdown"))
     return reports.latest_run_delta(g.filter("timestamp < 5"), current)
+
+
+# ---- further operators on the same tables
+
+TABLE_SQL = SQL["regime_features"].removeprefix("WITH ").rsplit("\nSELECT g.date", 1)[0]
+
+
+@query(
+    "regime_table",
+    f"""WITH {TABLE_SQL}, {A.UNIVERSE}, rr AS (SELECT symbol, date, ret FROM r WHERE ret IS NOT NULL AND symbol IN (SELECT symbol FROM universe WHERE asset_class = 'equity')),
+p AS (SELECT a.symbol || '/' || b.symbol AS symbol, a.date, a.ret AS x, b.ret AS y FROM rr a JOIN rr b ON a.date = b.date AND a.symbol < b.symbol),
+c AS (SELECT date, CASE WHEN count(*) OVER {frame(20)} >= 10 AND max(x) OVER {frame(20)} > min(x) OVER {frame(20)} AND max(y) OVER {frame(20)} > min(y) OVER {frame(20)} THEN corr(x, y) OVER {frame(20)} END AS c FROM p),
+e AS (SELECT date, avg(v5) AS vol_5d, avg(v20) AS vol_20d, avg(v60) AS vol_60d, avg(vr) AS avg_volume_ratio, count(*) FILTER (ret > 0) / nullif(count(ret), 0)::DOUBLE AS market_breadth FROM v WHERE symbol IN (SELECT symbol FROM universe WHERE asset_class = 'equity') GROUP BY date)
+SELECT e.date, round(vol_5d, 6) AS vol_5d, round(vol_20d, 6) AS vol_20d, round(vol_60d, 6) AS vol_60d, round(i.close, 9) AS vix, round(k.avg_correlation, 6) AS avg_correlation, round(avg_volume_ratio, 6) AS avg_volume_ratio, round(market_breadth, 6) AS market_breadth
+FROM e ASOF LEFT JOIN idx i ON e.date >= i.date LEFT JOIN (SELECT date, avg(c) AS avg_correlation FROM c GROUP BY date) k ON k.date = e.date""",
+)
+def regime_table(spark: SparkSession, d: str) -> DataFrame:
+    b = quality.filter_asset_class(A.bars(spark, d), A.universe(spark, d))
+    out = regime.build_regime_features(b, A.index_series(spark, d))
+    return out.select(*[F.round(c, 9 if c == "vix" else 6).alias(c) if c != "date" else C(c) for c in out.columns])
+
+
+@query(
+    "common_returns",
+    f"""WITH {A.BARS}, {A.UNIVERSE}, e AS (SELECT symbol, date, close FROM bars WHERE symbol IN (SELECT symbol FROM universe WHERE asset_class = 'gold')),
+p AS (SELECT s.symbol, c.date, e.close FROM (SELECT DISTINCT symbol FROM e) s CROSS JOIN (SELECT DISTINCT date FROM e) c LEFT JOIN e ON e.symbol = s.symbol AND e.date = c.date)
+SELECT symbol, date, round(close / nullif(lag(close) OVER {W}, 0) - 1, 6) AS ret FROM p""",
+)
+def common_returns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(regime.common_returns(quality.filter_asset_class(A.bars(spark, d), A.universe(spark, d), "gold")))
+
+
+@query(
+    "standardize",
+    f"WITH {A.BARS}, s AS (SELECT avg(close) AS m, stddev_pop(close) AS sd FROM bars WHERE date < DATE '1998-01-01') SELECT symbol, date, round((close - m) / coalesce(nullif(sd, 0), 1), 6) AS close FROM bars, s WHERE date >= DATE '1998-01-01'",
+)
+def standardized(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.models import standardize
+
+    rows, cut = A.bars(spark, d).select("symbol", "date", "close"), F.lit(dt.date(1998, 1, 1))
+    return rounded(standardize(rows.filter(C("date") >= cut), rows.filter(C("date") < cut), ["close"]))
+
+
+@query(
+    "session_lookups",
+    f"WITH {A.BARS}, {A.FILINGS}, cal AS (SELECT DISTINCT date FROM bars WHERE symbol IN ('1', '2', '3')), f AS (SELECT DISTINCT trade_date FROM filings) SELECT f.trade_date, f.trade_date IN (SELECT date FROM cal) AS is_session, cal.date AS last_session FROM f ASOF LEFT JOIN cal ON f.trade_date >= cal.date",
+)
+def session_lookups(spark: SparkSession, d: str) -> DataFrame:
+    cal = A.bars(spark, d).filter(C("symbol").isin("1", "2", "3")).select("date").distinct()
+    days_ = A.filings(spark, d).select("trade_date").distinct()
+    return asof.last_session(asof.is_session(days_, "trade_date", cal), "trade_date", cal)
+
+
+@query("stop_loss_hit", f"WITH {A.BARS} SELECT symbol, date, close <= open - 0.5 * (high - low) AS hit FROM bars")
+def stops(spark: SparkSession, d: str) -> DataFrame:
+    return A.bars(spark, d).select("symbol", "date", sizing.stop_loss_hit(C("close"), C("open"), C("high") - C("low"), 0.5).alias("hit"))
+
+
+@query(
+    "open_rule",
+    f"WITH {SIZED_SQL}, {A.INDEX}, {DAYS_SQL} SELECT n.date, n.symbol, coalesce(v.veto, 0) = 0 AND n.symbol::INT % 3 <> 0 AND n.f > 0.01 AND n.p >= 0.6 AS opens FROM n LEFT JOIN days v ON v.date = n.date",
+)
+def opens(spark: SparkSession, d: str) -> DataFrame:
+    rows = kelly_rows(spark, d).join(days(spark, d).select("date", "veto"), "date", "left")
+    return rows.select("date", "symbol", sizing.open_rule(C("veto"), C("symbol").cast("int") % 3 == 0, C("f"), C("p"), 0.6).alias("opens"))
+
+
+@query(
+    "agent_votes",
+    f"""WITH {SIZED_SQL}, {A.INDEX}, {DAYS_SQL} SELECT n.date, n.symbol, round(n.p, 4) AS technical, round(n.f, 4) AS analyst, CASE WHEN n.p > 0.8 THEN 'alert' ELSE 'none' END AS insider,
+  CASE WHEN v.veto = 1 THEN 0.0 ELSE round(v.scale, 4) END::DOUBLE AS regime, CASE WHEN n.symbol::INT % 2 = 0 THEN 0.6 END::DOUBLE AS boost FROM n LEFT JOIN days v ON v.date = n.date""",
+)
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    rows = kelly_rows(spark, d).join(days(spark, d).select("date", "veto", "scale"), "date", "left")
+    rho = F.when(C("symbol").cast("int") % 2 == 0, F.lit(0.6)).otherwise(F.lit(0.5))
+    v = sizing.agent_votes(C("p"), C("f"), (C("p") > 0.8).cast("int"), C("veto"), C("scale"), rho)
+    return rows.select("date", "symbol", v.alias("v")).select("date", "symbol", "v.*")
+
+
+@query("window_close_summary", f"WITH {A.TRADES} SELECT count(*) AS n_positions_closed, round(sum(round(price * 0.0008, 2)), 2) AS commission_closing FROM trades WHERE action = 'SELL'")
+def closes(spark: SparkSession, d: str) -> DataFrame:
+    sold = A.trades(spark, d).filter("action = 'SELL'").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_positions_closed"), F.sum(F.round(C("price") * 0.0008, 2)).alias("commission_closing"))
+    return reports.window_close_summary(sold)
+
+
+@query(
+    "holdout_window",
+    f"""WITH {A.BARS}, s AS (SELECT symbol, date, CASE WHEN date <= DATE '2000-12-31' THEN 'train' ELSE 'val' END AS split FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY date DESC) AS k FROM s) SELECT 4 AS iteration, split, count(*) AS n FROM r WHERE split = 'val' OR k > 1 GROUP BY split""",
+)
+def holdout(spark: SparkSession, d: str) -> DataFrame:
+    window = quality.holdout_window(START, HOLDOUT, END, len(WINDOWS) + 1)
+    rows = quality.assign_windows(A.bars(spark, d).select("symbol", "date"), quality.windows_frame(spark, [window]))
+    return rows.groupBy("iteration", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "daily_sentiment_median",
+    f"WITH {A.NEWS} SELECT symbol, created_at::DATE AS session_date, round(median(score), 9) AS sentiment_raw FROM news GROUP BY 1, 2",
+)
+def median_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.daily_sentiment(A.news(spark, d).withColumn("session_date", F.to_date("created_at")), "median"), 9)
+
+
+#: Titles as filings spell them, dealt to events by their id, and the roles they name.
+TITLES = ["Chief Executive Officer", "C.F.O.", "chief technical officer", "Director", "EVP and COO", "Vice President", "VP Sales", "", None]
+TITLE_ROLES = ["CEO", "CFO", "CTO", "Director", "COO", "President", "VP Sales", None, None]
+
+
+@query(
+    "owner_role",
+    f"""SELECT event_id, coalesce(([{", ".join("NULL" if r is None else f"'{r}'" for r in TITLE_ROLES)}])[event_id % 9 + 1], CASE WHEN user_id % 3 = 0 THEN 'Director' WHEN user_id % 2 = 0 THEN 'Officer' ELSE 'Unknown' END) AS role FROM events""",
+)
+def owner_roles(spark: SparkSession, d: str) -> DataFrame:
+    title = F.element_at(F.array(*[F.lit(t).cast("string") for t in TITLES]), (C("event_id") % 9 + 1).cast("int"))
+    return A.table(spark, d, "events").select("event_id", X.owner_role(title, (C("user_id") % 3 == 0).cast("int"), C("user_id") % 2 == 0).alias("role"))
+
+
+# ---- files
+
+
+@query("read_universe", f"WITH {A.UNIVERSE} SELECT symbol, asset_class, 'x' AS sector, row_number() OVER (ORDER BY symbol_rank) - 1 AS symbol_rank FROM universe")
+def universe_file(spark: SparkSession, d: str) -> DataFrame:
+    path = io.work_dir(spark, "universe")
+    rows = A.universe(spark, d).select(C("symbol").alias("ticker"), F.concat(F.lit("Name, of "), C("symbol")).alias("name"), "asset_class", F.lit("x").alias("sector"), F.lit("").alias("notes"), "symbol_rank")
+    rows.coalesce(1).sortWithinPartitions("symbol_rank").drop("symbol_rank").write.csv(path, header=True)
+    return io.read_universe(spark, path).select("symbol", "asset_class", "sector", "symbol_rank")
+
+
+@query("malformed_lines", "SELECT event_id % 7 = 0 AS bad, count(*) AS n, round(sum(CASE WHEN event_id % 7 <> 0 THEN value END), 2) AS price FROM events GROUP BY 1")
+def malformed(spark: SparkSession, d: str) -> DataFrame:
+    path = io.work_dir(spark, "log")
+    line = F.to_json(F.struct(F.lit("2021-01-04").alias("date"), C("user_id").cast("string").alias("ticker"), C("value").alias("price")))
+    A.table(spark, d, "events").select(F.when(C("event_id") % 7 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    bad = io.read_log_with_errors(spark, path).select(C("_corrupt_record").isNotNull().alias("bad"), "price")
+    good = io.read_trade_log(spark, path).agg(F.count(F.lit(1)).alias("_good"))
+    out = bad.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("price"))
+    return out.join(good, how="cross").filter(C("bad") | (C("n") == C("_good"))).drop("_good")
+
+
+@query(
+    "read_experiments",
+    f"WITH {WIN_SQL} SELECT x.experiment, x.sharpe, x.total_return, x.max_drawdown, x.calmar, count(y.iteration)::INTEGER AS n_windows, 0.5::DOUBLE AS buy_and_hold_sharpe, NULL::DOUBLE AS sma_sharpe FROM x LEFT JOIN y ON y.experiment = x.experiment GROUP BY ALL",
+)
+def experiment_files(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON file with a list of results for each tenth of the experiments, written and read."""
+    path = io.work_dir(spark, "experiments")
+    own = F.struct(F.struct("total_return", "sharpe", "max_drawdown", "calmar").alias("metrics"), "window_results")
+    rows = nested(spark, d).select((C("experiment").cast("int") % 10).alias("g"), F.struct(F.lit("now").alias("timestamp"), "experiment", own.alias("own"), F.struct(C("buy_and_hold_sharpe").alias("sharpe")).alias("buy_and_hold")).alias("r"))
+    rows.groupBy("g").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("g").text(path)
+    return io.read_experiments(spark, path, "own").drop("timestamp", "window_results", "file")
+
+
+@query("equity_csv", f"WITH {A.BARS}, {CURVES} SELECT run_id::DOUBLE AS run_id, date, equity FROM curves")
+def equity_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = io.work_dir(spark, "curves")
+    io.write_equity_csv(A.curves(spark, d).withColumnRenamed("date", "Date"), path)
+    return io.read_equity_csv(spark, path)

@@ -14,7 +14,7 @@ UNIVERSE = "ticker string, name string, asset_class string, sector string, notes
 BARS = ["open", "high", "low", "close", "volume"]
 TRADES = "date string, ticker string, action string, price double, shares double, capital double, commission double, kelly_fraction double, agent_votes map<string,double>, reason string"
 _METRICS = "struct<total_return:double,sharpe:double,max_drawdown:double,calmar:double>"
-EXPERIMENT = f"timestamp string, experiment string, mas struct<metrics:{_METRICS},window_results:array<struct<iteration:int,val_start:string,val_end:string,total_return:double,sharpe:double,max_drawdown:double,n_tickers:int>>>, buy_and_hold {_METRICS}, sma_crossover {_METRICS}"
+_RESULT = f"struct<metrics:{_METRICS},window_results:array<struct<iteration:int,val_start:string,val_end:string,total_return:double,sharpe:double,max_drawdown:double,n_tickers:int>>>"
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +58,11 @@ def read_log_with_errors(spark: SparkSession, path: str, schema: str = TRADES) -
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
-def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    """One row per result file with its metrics, number of windows and file name."""
-    df = spark.read.schema(EXPERIMENT).option("multiLine", True).json(path)
-    return df.select("timestamp", "experiment", "mas.metrics.*", F.coalesce(F.size("mas.window_results"), F.lit(0)).alias("n_windows"), "mas.window_results", C("buy_and_hold.sharpe").alias("buy_and_hold_sharpe"), C("sma_crossover.sharpe").alias("sma_sharpe"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"))
+def read_experiments(spark: SparkSession, path: str, strategy: str = "strategy") -> DataFrame:
+    """One row per result file with its metrics, number of windows and file name; `strategy` is the key of the strategy's own results."""
+    schema = f"timestamp string, experiment string, `{strategy}` {_RESULT}, buy_and_hold {_METRICS}, sma_crossover {_METRICS}"
+    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumnRenamed(strategy, "_own")
+    return df.select("timestamp", "experiment", "_own.metrics.*", F.coalesce(F.size("_own.window_results"), F.lit(0)).alias("n_windows"), "_own.window_results", C("buy_and_hold.sharpe").alias("buy_and_hold_sharpe"), C("sma_crossover.sharpe").alias("sma_sharpe"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"))
 
 
 def read_equity_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +77,10 @@ def write_equity_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, or below a local one where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
+    """A new folder below the shared checkpoint folder; below a local one only where none is configured and everything runs in this process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,18 +21,36 @@ def catch_up(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoi
 
 
 def upsert_sink(spark: SparkSession, path: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
-    """An idempotent sink: one row per key under `path`, in generations; a repeated batch writes its own generation again.
+    """An idempotent sink below `path`: each micro-batch writes its own rows, one a key, once; `read_upserted` has the last row of each key.
 
-    Generation n holds the table after batch n, so a batch that is retried reads n - 1 and never what it is writing.
+    A batch never reads or rewrites what others wrote, so years of days cost as much as their rows, and one that is retried
+    replaces its own folder only. `compact` folds batches into one now and then.
     """
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")  # a table before any input
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def work(batch: DataFrame, n: int) -> None:
-        base = spark.read.schema(schema).parquet(f"{path}/gen={n - 1}") if n else spark.createDataFrame([], schema)
-        upsert(base, batch.select(*base.columns), keys).write.mode("overwrite").parquet(f"{path}/gen={n}")
+        none = spark.createDataFrame([], schema)
+        upsert(none, batch.select(*columns), keys).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return work
 
 
+def read_upserted(spark: SparkSession, path: str, keys: list[str], schema: str, upto: int | None = None) -> DataFrame:
+    """The rows of an upsert sink: of each key the one of the newest batch (up to `upto`)."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    rows = rows if upto is None else rows.filter(C("batch") <= upto)
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_r", newest).filter("_r = 1").drop("_r", "batch")
+
+
+def compact(spark: SparkSession, path: str, target: str, keys: list[str], schema: str, upto: int) -> None:
+    """Write the rows of the batches up to `upto` into the new table `target` as that batch, and copy the later ones; readers then move to `target`."""
+    read_upserted(spark, path, keys, schema, upto).write.mode("overwrite").parquet(f"{target}/batch={upto}")
+    later = spark.read.schema(f"{schema}, batch long").parquet(path).filter(C("batch") > upto)
+    later.write.mode("append").partitionBy("batch").parquet(target)
+
+
 def news_by_session(news: DataFrame, sessions: DataFrame, delay: str = "3 days", close_hour: int = 16, zone: str = "America/New_York") -> DataFrame:
     """Mean score per symbol and session of a stream (symbol, created_at, score), with the static map (day, session) of operators.asof.session_map.
 
@@ -42,7 +60,7 @@ def news_by_session(news: DataFrame, sessions: DataFrame, delay: str = "3 days",
     local = F.from_utc_timestamp("created_at", zone)
     day = F.when(F.hour(local) >= close_hour, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
     rows = news.withWatermark("created_at", delay).withColumn("day", day).join(F.broadcast(sessions.select("day", "session")), "day")
-    return rows.groupBy("symbol", C("session").alias("trading_day")).agg(F.avg("score").alias("sentiment_raw"), F.count(F.lit(1)).alias("n_news"))
+    return rows.groupBy("symbol", C("session").alias("session_date")).agg(F.avg("score").alias("sentiment_raw"), F.count(F.lit(1)).alias("n_news"))
 
 
 BOOK = "account string, date date, cash double, invested double, n_positions int"

@@ -188,8 +188,43 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequ
 
 def digest(rows: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *map(count, PATTERNS), F.sha2(joined(C("base")), 256).alias("base_sha256"), joined(C("spans")).alias("spans"))
+    return rows.select("doc_id", *map(count, PATTERNS), F.sha2(joined(C("base")), 256).alias("base_sha256"), joined(C("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(sanitise(read_table(spark, sf_dir, "documents")))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+pat(rank, kind, p) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (2, 'card', '[0-9](?:[ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')),
+found AS (
+  SELECT r, 0 AS rank, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS vs, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gs FROM d
+  UNION ALL SELECT r, 1, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM d
+  UNION ALL SELECT r, 2, regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), string_split_regex(t, '[0-9](?:[ -]?[0-9])+') FROM d
+  UNION ALL SELECT r, 3, regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM d),
+each AS (SELECT r, rank, unnest(range(1, len(vs) + 1)) AS k, unnest(vs) AS v, unnest(gs[1:len(vs)]) AS g FROM found),
+placed AS (SELECT r, rank, v, sum(length(g) + length(v)) OVER (PARTITION BY r, rank ORDER BY k)::BIGINT AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM each),
+base AS (SELECT r, rank, kind, v, digits, e - length(v) AS s, e FROM placed JOIN pat USING (rank) WHERE
+  CASE rank WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse(digits), i + 1, 1)::INT ELSE substr(reverse(digits), i + 1, 1)::INT * 2 - CASE WHEN substr(reverse(digits), i + 1, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+n AS (SELECT count(*)::DOUBLE AS total FROM d),
+keys AS (SELECT DISTINCT r, unnest(['v|' || kind || '|' || lower(v), 'c|' || kind || '|' || CASE rank WHEN 0 THEN regexp_extract(lower(v), '[^@]*$') WHEN 1 THEN string_split(v, '.')[1] || '.' || string_split(v, '.')[2] WHEN 2 THEN digits[1:6] ELSE digits[1:4] END, 'k|' || kind]) AS key FROM base),
+ent AS (SELECT key, count(*) AS n_e, pow(count(*)::DOUBLE, 0.85) * pow(any_value(total), 0.15) + 1e-6 AS reach, ln(any_value(total) / count(*)) AS information FROM keys, n GROUP BY key HAVING count(*) < any_value(total)),
+raw AS (SELECT r, list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*')) AS ws FROM d),
+spans AS (SELECT r, list(struct_pack(s := s, e := e)) AS ss FROM base GROUP BY r),
+known AS (SELECT r, list_distinct(regexp_extract_all(lower(array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN len(list_filter(ss, lambda x: x.s < i AND i <= x.e)) > 0 THEN ' ' ELSE substr(t, i, 1) END), '')), '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*')) AS ws FROM spans JOIN d USING (r)),
+kt AS (SELECT r, unnest(ws) AS term FROM known),
+nt AS (SELECT term, sum(x) AS n_t FROM (SELECT unnest(ws) AS term, 1 AS x FROM raw UNION ALL SELECT * FROM (SELECT unnest(list_filter(raw.ws, lambda w: NOT list_contains(known.ws, w))) AS term, -1 AS x FROM raw JOIN known USING (r))) GROUP BY term),
+pairs AS (SELECT kt.r, kt.term, keys.key, n_t::DOUBLE AS n_t, information FROM kt JOIN keys USING (r) JOIN ent USING (key) JOIN nt ON nt.term = kt.term WHERE n_t <= reach),
+telling AS (SELECT key, term FROM (SELECT key, term, count(*) / any_value(n_t) AS p, any_value(n_t) AS m, any_value(information) AS information FROM pairs GROUP BY key, term)
+  WHERE 1 + ln((p + 1.2816 * 1.2816 / (2 * m) - 1.2816 * sqrt(p * (1 - p) / m + 1.2816 * 1.2816 / (4 * m * m))) / (1 + 1.2816 * 1.2816 / m)) / information >= 0.85),
+own AS (SELECT DISTINCT r, term FROM pairs JOIN telling USING (key, term)),
+tok AS (SELECT r, unnest(range(1, len(vs) + 1)) AS k, unnest(vs) AS v, unnest(gs[1:len(vs)]) AS g FROM (SELECT r, regexp_extract_all(t, '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*') AS vs, string_split_regex(t, '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*') AS gs FROM d WHERE r IN (SELECT r FROM own))),
+hits AS (SELECT t.r, 4 AS rank, 'term' AS kind, e - length(v) AS s, e FROM (SELECT r, v, sum(length(g) + length(v)) OVER (PARTITION BY r ORDER BY k)::BIGINT AS e FROM tok) t JOIN own ON own.r = t.r AND own.term = lower(v)),
+al AS (SELECT r, rank, kind, s, e FROM base UNION ALL SELECT * FROM hits),
+o AS (SELECT r, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 4), '') AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS sp, count(*) AS n_spans FROM al GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(sp, '') AS spans, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN o USING (r)
+"""

@@ -6,7 +6,7 @@ from .bit_sliced import OP6_SQL, op6_bit_sliced_top_k
 from .byte_bpe import op9_duckdb_byte_bpe
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op4_min_slack_packing
-from .pii import op3_disclosure_pii
+from .pii import OP3_SQL, op3_disclosure_pii
 from .quality_classifier import op5_ftrl_quality
 from .quality_rules import OP10_SQL, op10_quality_ledger
 from .sharding import OP2_SQL, op2_jump_sharding
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_duckdb_byte_bpe": op9_duckdb_byte_bpe,
     "op10_quality_ledger": op10_quality_ledger,
 }
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op2_jump_sharding": OP2_SQL, "op6_bit_sliced_top_k": OP6_SQL, "op7_zip_warc": OP7_SQL, "op10_quality_ledger": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op2_jump_sharding": OP2_SQL, "op3_disclosure_pii": OP3_SQL, "op6_bit_sliced_top_k": OP6_SQL, "op7_zip_warc": OP7_SQL, "op10_quality_ledger": OP10_SQL}

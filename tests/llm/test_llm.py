@@ -163,6 +163,10 @@ def test_jump_hash_and_slots(spark):
     assert (one["size"], one["text_crc32"]) == (len("é101".encode()) + 1, zlib.crc32("é101".encode()))
     assert next(r["size"] for r in rows if r["doc_id"] == 1) == 1
     assert sharding.shard_table(df.limit(0)).count() == 0
+    again = sharding.shard_table(df.union(df).union(df), shards=8, buckets=16).groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("top"), F.count("slot").alias("rows")).collect()
+    assert all(r["n"] == r["rows"] == r["top"] + 1 for r in again) and sum(r["rows"] for r in again) == 3 * len(rows)  # rows that repeat have slots of their own
+    many = spark.range(200).select(F.col("id"), sharding.jump_hash(F.col("id"), 1000).alias("s")).collect()
+    assert all(r["s"] == jump(r["id"], 1000) for r in many)
 
 
 # ---- 3
@@ -234,6 +238,53 @@ def test_terms_far_from_the_entity_and_with_digits(spark):
     assert all(not {"mail", "example", "com"} & set(terms_of(rows[i])) for i in range(6))
 
 
+def brute_terms(texts):
+    """Disclosing terms of each text, by counting: every term with every value, class and kind."""
+    import math
+
+    word = re.compile(r"[^\W_]+")  # letters and digits; the texts have no combining marks
+    n, spans = len(texts), [brute_spans(t) for t in texts]
+    keys, own = [], []
+    for t, found in zip(texts, spans, strict=True):
+        here = set()
+        for a, _, b, kind in found:
+            v = (t or "")[a:b].lower()
+            d = re.sub("[^0-9]", "", v)
+            wide = {"email": v.rsplit("@", 1)[-1], "ip": ".".join(v.split(".")[:2]), "card": d[:6], "phone": d[:4]}[kind]
+            here |= {("v", kind, v), ("c", kind, wide), ("k", kind)}
+        keys.append(here)
+        left = list(t or "")
+        for a, _, b, _ in found:
+            left[a:b] = " " * (b - a)
+        own.append(set(word.findall("".join(left).lower())))
+    whole = [own[i] if spans[i] else set(word.findall((t or "").lower())) for i, t in enumerate(texts)]
+    n_t, n_e = Counter(w for s in whole for w in s), Counter(k for s in keys for k in s)
+    both = Counter((k, w) for i, s in enumerate(keys) for k in s for w in own[i])
+    telling = set()
+    for (k, w), c in both.items():
+        if n_e[k] == n or n_t[w] > n_e[k] ** pii.GENERALISE * n ** (1 - pii.GENERALISE) + 1e-6:
+            continue
+        p, m, z = c / n_t[w], n_t[w], pii.Z
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        if 1 + math.log(low) / math.log(n / n_e[k]) >= pii.GENERALISE:
+            telling.add((k, w))
+    return [{w for w in own[i] if any((k, w) in telling for k in keys[i])} for i in range(n)]
+
+
+def test_terms_equal_those_of_plain_counting(spark):
+    """Values that repeat and don't, classes and kinds, rows that repeat, nulls, clashing columns."""
+    rng = random.Random(33)
+    texts = [f"{prose(rng, 25)} Name{i % 7} {prose(rng, 5)} u{i % 11}@firm{i % 3}.example.com {'10.%d.3.4' % (i % 5) if i % 2 else ''} Qx{i} {prose(rng, 15)}" for i in range(60)]
+    texts += [prose(rng, 40) for _ in range(500)] + [None, ""] + texts[:9] * 2
+    df = docs(spark, texts).withColumn("terms", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("keys", F.lit(0))
+    want = brute_terms(texts)
+    assert sum(map(len, want)) > 50
+    got = {r["doc_id"]: {v.lower() for v in terms_of(r)} for r in pii.sanitise(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    same = df.withColumn("doc_id", F.lit(7).cast("long"))  # one id for all rows
+    assert Counter(tuple(sorted({v.lower() for v in terms_of(r)})) for r in pii.sanitise(same).collect()) == Counter(tuple(sorted(w)) for w in want)
+
+
 # ---- 4
 
 

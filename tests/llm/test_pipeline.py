@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_llm import SCHEMA, brute_components, brute_rules, brute_spans, prose
 from tidemark.llm.common import DOCUMENT_COLUMNS
 
@@ -52,5 +53,17 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, got.select(pick).collect())) == sorted(tuple(r[c] for c in pick) for r in s["best_fit_packing"])
 
 
+def test_stages_of_empty_tables_repeated_rows_and_clashing_columns(spark, stages):
+    d, _ = stages
+    df = spark.createDataFrame([(1, "", "en", "s", 0), (None, None, None, None, None)] + [(2, prose(random.Random(3), 80), "en", "s", 9)] * 3, SCHEMA)
+    clash = [("score", 1), ("component_id", 2), ("kept", 3), ("row", 4), ("carried", 5), ("spans", 6), ("piece", 7)]
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, df.limit(0), d)
+        assert out.count() == 0
+        rows = f(spark, df.withColumns({c: F.lit(v) for c, v in clash}), d)
+        assert rows.columns == out.columns
+        assert rows.filter("doc_id = 2").count() in ((0, 3) if name == "quality_classifier" else (3,)), name  # rows that repeat go or stay together
+
+
 def test_no_import_error_is_hidden():
     assert "except ImportError" not in Path(corpus_pipeline.__file__).read_text()

@@ -12,21 +12,27 @@ from .common import cut
 HOT_ROWS, HOT_KEYS = 512, 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, how: str = "inner") -> DataFrame:
-    """left.join(right, key, how), where a key may have very many rows on the left and has one or a few on the right.
+def hot_keys(counted: DataFrame, key: str) -> tuple[int, DataFrame | None]:
+    """The rows of a written table, and (key, _parts) of the keys with more than a threshold of them; None if there are none.
 
-    `counted`, a written table whose columns the left has, tells how many. A key with more than a threshold of its rows, HOT_ROWS or
-    the HOT_KEYS-th part of all, is dealt into parts of that size, and its rows on the right are copied to each. So at most HOT_KEYS
-    keys are broadcast, whatever the input, and there are at most as many copies.
+    The threshold is HOT_ROWS or the HOT_KEYS-th part of all, so there are at most HOT_KEYS such keys, whatever the input.
     """
-    most = max(HOT_ROWS, (n := counted.count()) // HOT_KEYS)
-    if n <= most:
-        return left.join(right, key, how)
-    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).alias("_parts"))
-    hot = cut(hot)
-    if hot.isEmpty():
+    counts = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, top = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    return total, cut(counts.filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).alias("_parts"))) if top > most else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), where some keys have very many rows on the left and one or a few on the right.
+
+    A hot key is dealt into its parts by a hash of the left's row, and its rows on the right are copied to each; there are at most HOT_KEYS copies or
+    so. Other keys are joined as they are.
+    """
+    if hot is None:
         return left.join(right, key, how)
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*counted.columns), "_parts"), F.lit(0))).drop("_parts")
+    salt = F.coalesce(F.pmod(F.xxhash64(*[c for c, t in left.dtypes if t in ("bigint", "int")]), "_parts"), F.lit(0))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
     copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
@@ -37,21 +43,25 @@ def connected_components(links: DataFrame) -> DataFrame:
     In each round a node points to the least of itself and its neighbours, by id and by hash in turn: by id a star
     shrinks to one node at once, by hash a chain of rising ids shrinks as fast as others. Links are rewritten to what their
     ends point to, and links inside a node vanish. The number of rounds is about the logarithm of the longest chain. All steps are grouped
-    minima with map-side combine and equi-joins that Spark can split where one node has very many links.
+    minima with map-side combine and joins that deal out the rows of a node with very many.
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     edges = cut(pairs.union(pairs.select("v", "u")).distinct())
     roots = cut(edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
     step = 0
-    while not edges.isEmpty():
+    while True:
+        n, hot = hot_keys(edges, "u")  # links go both ways, so these are the hot ends on either side
+        if not n:
+            break
         order = F.xxhash64(F.col("v"), F.lit(step)) if step % 2 else F.col("v")
         own = F.xxhash64(F.col("u"), F.lit(step)) if step % 2 else F.col("u")
         nearest = edges.groupBy("u").agg(F.min(F.struct(order.alias("h"), F.col("v").alias("id"))).alias("m")).select("u", F.least(F.col("m"), F.struct(own.alias("h"), F.col("u").alias("id")))["id"].alias("p"))
         nearest = cut(nearest)
-        roots = cut(spread_join(roots, nearest.withColumnRenamed("u", "root"), "root", roots, "left").select("node", F.coalesce("p", "root").alias("root")))
-        moved = cut(spread_join(edges, nearest, "u", edges).select(F.col("p").alias("pu"), "v"))
-        moved = spread_join(moved, nearest.withColumnRenamed("u", "v"), "v", moved).select(F.col("pu").alias("u"), F.col("p").alias("v"))
+        shared = hot_keys(roots, "root")[1] if step else None
+        roots = cut(spread_join(roots, nearest.withColumnRenamed("u", "root"), "root", shared, "left").select("node", F.coalesce("p", "root").alias("root")))
+        moved = spread_join(edges, nearest, "u", hot).select(F.col("p").alias("pu"), "v")
+        moved = spread_join(moved, nearest.withColumnRenamed("u", "v"), "v", None if hot is None else hot.withColumnRenamed("u", "v")).select(F.col("pu").alias("u"), F.col("p").alias("v"))
         edges = cut(moved.filter("u <> v").distinct())
         step += 1
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return spread_join(roots, least, "root", roots).select("node", "component")
+    return spread_join(roots, least, "root", hot_keys(roots, "root")[1]).select("node", "component")

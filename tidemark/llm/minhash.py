@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, read_table, slices
-from .components import connected_components, spread_join
+from .components import connected_components, hot_keys, spread_join
 
 #: At similarity 0.8 a pair agrees on fewer than 36 of 64 coordinates with a chance below one in 100,000.
 COORDS, MATCHES = 64, 36
@@ -120,7 +120,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int, similarity: fl
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     sized = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
     pairs = cut(pairs)  # a hub is in very many pairs
-    return spread_join(pairs.join(side("a"), "a"), side("b"), "b", pairs).filter(sized).filter(agree >= matches).select("a", "b").distinct()
+    return spread_join(pairs.join(side("a"), "a"), side("b"), "b", hot_keys(pairs, "b")[1]).filter(sized).filter(agree >= matches).select("a", "b").distinct()
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, words: int) -> DataFrame:
@@ -134,8 +134,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     """Pairs whose full shingle sets reach the similarity: 100 * intersection >= percent * union."""
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(_shingle_sets(docs, wanted, 2 * pairs.count(), words))
-    both = spread_join(pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b", pairs)
+    n, hot = hot_keys(pairs, "b")
+    sets = cut(_shingle_sets(docs, wanted, 2 * n, words))
+    both = spread_join(pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b", hot)
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 

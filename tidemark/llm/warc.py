@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read_table, shared_dir, slices
-from .components import spread_join
+from .components import hot_keys, spread_join
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Compressed bytes, or records, after which a package is closed.
@@ -140,7 +140,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "large": F.octet_length("html") >= min_bytes})
     counted = cut(rows.select("page_id", "sha", "large"))
     first = counted.filter("large").groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    rows = spread_join(rows, first, "sha", counted, "left").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows = spread_join(rows, first, "sha", hot_keys(counted, "sha")[1], "left").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
     store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
     return cut(rows.mapInArrow(_written(folder), "path string, records long"))

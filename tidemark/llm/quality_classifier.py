@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, slices
+from .common import give_back, read_table, slices
 from .ftrl import Ftrl, fold_of, labelled_sample, sigmoid
 
 BITS = 18
@@ -90,13 +90,20 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     """Weights of one share by index, and a row of index -1 that counts the share."""
     grams, model = NGrams(), Ftrl(1 << BITS)
     pdf = pdf.sort_values(["order", "doc_id", "text"])
-    rows = [(*grams.row((t or "").encode()), int(y)) for t, y in zip(pdf["text"], pdf["label"], strict=True)]
+    rows = []  # as small as they can be: a share is held as a whole
+    for t, y in zip(pdf["text"], pdf["label"], strict=True):
+        idx, x = grams.row((t or "").encode())
+        rows.append((idx.astype(np.int32), x.astype(np.float32), int(y)))
+    del pdf, grams
     for _ in range(EPOCHS):
         for idx, x, y in rows:
             model.update(idx, x, y)
     w = model.weights()
     at = np.flatnonzero(w)
-    return pd.DataFrame({"i": np.append(at, -1), "w": np.append(w[at], 1.0)})
+    out = pd.DataFrame({"i": np.append(at, -1), "w": np.append(w[at], 1.0)})
+    del rows, model
+    give_back()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> np.ndarray:

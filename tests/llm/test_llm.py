@@ -126,13 +126,15 @@ def test_common_sizes_equal_intersections():
 
 def test_joins_of_a_key_with_very_many_rows(spark):
     from tidemark.llm.common import cut
-    from tidemark.llm.components import spread_join
+    from tidemark.llm.components import hot_keys, spread_join
 
     left = cut(spark.range(6000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 1 ELSE id END AS k"))
     right = spark.createDataFrame([(1, "hub"), (3, "three")], "k long, name string")
+    rows, hot = hot_keys(left, "k")
+    assert rows == 6000 and [tuple(r) for r in hot.collect()] == [(1, 6)] and hot_keys(right, "k") == (2, None)
     for how in ("inner", "left"):
         want = sorted(map(str, left.join(right, "k", how).select("id", "k", "name").collect()))
-        assert sorted(map(str, spread_join(left, right, "k", left, how).select("id", "k", "name").collect())) == want
+        assert sorted(map(str, spread_join(left, right, "k", hot, how).select("id", "k", "name").collect())) == want
     star = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(9)], "a long, b long")
     assert Counter(r["component"] for r in connected_components(star).collect()) == {0: 3000, 5000: 10}
 

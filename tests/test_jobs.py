@@ -19,7 +19,8 @@ def test_walk_forward_is_registered_whole(spark, monkeypatch):
     jobs.walk(spark, DATA)
     (windows, s), = given
     assert list(windows) == list(WINDOWS)
-    assert (list(s.features), s.trees, s.folds, s.forest) == (list(MODEL_FEATURES), 300, 5, 100)
+    assert (list(s.features), s.trees, s.folds, s.forest) == (list(MODEL_FEATURES), 30, 5, 100)
+    assert (jobs.PRODUCTION.trees, jobs.PRODUCTION.folds, jobs.PRODUCTION.forest) == (300, 5, 100)
 
 
 def test_hidden_states_of_every_window(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,13 +205,15 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_asset_class(full, A.universe(spark, d)).withColumn("symbol_rank", C("symbol").cast("int"))
 
 
-#: The reference's trees, folds and isolation trees, over all model features.
+#: Production settings over all model features, and the trees of the registered query: 15 models of 300 trees are 27,000 small
+#: jobs, more than 10 minutes on the small tables; see the README.
 PRODUCTION = walkforward.Settings(trees=300, folds=5, forest=100)
+REGISTERED = replace(PRODUCTION, trees=30)
 
 
 @query("walk_forward")
 def walk(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward.walk_forward(model_rows(spark, d), regime_rows(spark, d), WINDOWS, PRODUCTION)[1]
+    return walkforward.walk_forward(model_rows(spark, d), regime_rows(spark, d), WINDOWS, REGISTERED)[1]
 
 
 # ---- streams

@@ -213,7 +213,7 @@ REGISTERED = replace(PRODUCTION, trees=30)
 
 @query("walk_forward")
 def walk(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward.walk_forward(model_rows(spark, d), regime_rows(spark, d), WINDOWS, REGISTERED)[1]
+    return walkforward.walk_forward(io.landed(model_rows(spark, d), "features"), io.landed(regime_rows(spark, d), "regime"), WINDOWS, REGISTERED)[1]
 
 
 # ---- streams

@@ -76,6 +76,13 @@ def write_equity_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True)
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once below the shared folder and read back, so that what follows doesn't compute it again."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; below a local one only where none is configured and everything runs in this process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

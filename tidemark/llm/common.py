@@ -16,14 +16,23 @@ from pyspark.sql import functions as F
 #: The white space that separates words everywhere in this subpackage.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Spark's setting for the bytes of an Arrow batch, and its default.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, on any file system Spark reads."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB for the Python tasks of this session, unless it has set a size of its own: by default a batch may take 64 MB, several times over in a task."""
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it; a local one only where none is configured and everything runs in this process (tests)."""
     sc = spark.sparkContext
@@ -40,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the reliable checkpoint folder and go on from there, so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

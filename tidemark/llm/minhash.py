@@ -27,7 +27,7 @@ from .components import connected_components, hot_keys, spread_join
 #: At similarity 0.8 a pair agrees on fewer than 36 of 64 coordinates with a chance below one in 100,000.
 COORDS, MATCHES = 64, 36
 #: Bytes that the words kept in a task may take.
-_MEMO_BYTES = 32 << 20
+_MEMO_BYTES = 24 << 20
 #: Ids up to which they are broadcast (longs, so some tens of MB); classes, and shingles of their sets, in a block on average.
 BROADCAST_IDS, BLOCK, BLOCK_SHINGLES = 1_000_000, 256, 1 << 18
 

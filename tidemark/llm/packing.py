@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Pieces of one length that are ranked together, on average: so many, or this part of all pieces if that is more.
 RANKED, RANKED_PART = 512, 100_000
 #: Bytes that the words kept in a task may take.
-_MEMO_BYTES = 80 << 20
+_MEMO_BYTES = 48 << 20
 #: Runs of marks that are kept.
 _MARK_RUNS = 10_000
 #: ASCII marks that may follow the letters of a word; an apostrophe may begin a piece of its own, so it is none.
@@ -40,8 +40,8 @@ def _tokenizers(path: str):
     """The tokenizer, and the same model without normaliser and splitting pattern, for words that both would leave as they are."""
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.normalizer = None
+    whole = Tokenizer.from_file(path)
+    plain = Tokenizer(whole.model)  # the same model, not a copy
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     plain.model._resize_cache(0)  # words come once
     return whole, plain
@@ -127,7 +127,8 @@ class WordIds:
         place = coded.indices.to_numpy()
         long = size[place]
         ends = np.cumsum(long)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[place] - (ends - long), long)
+        at = np.repeat(start[place] - (ends - long), long)
+        at += np.arange(len(at))
         out, bounds = flat[at].tobytes(), (np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4).tolist()
         return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
@@ -135,7 +136,7 @@ class WordIds:
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 1, 4 << 20):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).cast(pa.binary())), strict=True):
                 data = ids + b"\0\0\0\0"

@@ -26,7 +26,7 @@ BITS = 18
 SAMPLE, PARTS, EPOCHS = 20_000, 4, 6
 THRESHOLD = 0.3
 #: Bytes that the words kept in a task may take.
-_MEMO_BYTES = 40 << 20
+_MEMO_BYTES = 24 << 20
 _UPPER, _LOWER, _DIGIT, _RUN = re.compile(r"[^\W\d_a-z]+"), re.compile(r"a+"), re.compile(r"\d+"), re.compile(r"(.)\1{2,}")
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 

@@ -10,6 +10,8 @@ from .common import cut
 
 #: Rows of one key that a task may get at least, and keys with more than that which are told to every task at most.
 HOT_ROWS, HOT_KEYS = 512, 100_000
+#: Rows in a partition of a written table at least: rounds soon have few links, and files of a few bytes for every shuffle partition would add up.
+FILE_ROWS = 50_000
 
 
 def hot_keys(counted: DataFrame, key: str) -> tuple[int, DataFrame | None]:
@@ -48,20 +50,22 @@ def connected_components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     edges = cut(pairs.union(pairs.select("v", "u")).distinct())
     roots = cut(edges.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
-    step = 0
+    step, files = 0, 0
     while True:
         n, hot = hot_keys(edges, "u")  # links go both ways, so these are the hot ends on either side
         if not n:
             break
+        files = files or -(-n // FILE_ROWS)
         order = F.xxhash64(F.col("v"), F.lit(step)) if step % 2 else F.col("v")
         own = F.xxhash64(F.col("u"), F.lit(step)) if step % 2 else F.col("u")
         nearest = edges.groupBy("u").agg(F.min(F.struct(order.alias("h"), F.col("v").alias("id"))).alias("m")).select("u", F.least(F.col("m"), F.struct(own.alias("h"), F.col("u").alias("id")))["id"].alias("p"))
-        nearest = cut(nearest)
+        few = -(-n // FILE_ROWS)  # links bound the nodes of this round and the links of the next
+        nearest = cut(nearest.coalesce(few))
         shared = hot_keys(roots, "root")[1] if step else None
-        roots = cut(spread_join(roots, nearest.withColumnRenamed("u", "root"), "root", shared, "left").select("node", F.coalesce("p", "root").alias("root")))
+        roots = cut(spread_join(roots, nearest.withColumnRenamed("u", "root"), "root", shared, "left").select("node", F.coalesce("p", "root").alias("root")).coalesce(files))
         moved = spread_join(edges, nearest, "u", hot).select(F.col("p").alias("pu"), "v")
         moved = spread_join(moved, nearest.withColumnRenamed("u", "v"), "v", None if hot is None else hot.withColumnRenamed("u", "v")).select(F.col("pu").alias("u"), F.col("p").alias("v"))
-        edges = cut(moved.filter("u <> v").distinct())
+        edges = cut(moved.filter("u <> v").distinct().coalesce(few))
         step += 1
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     return spread_join(roots, least, "root", hot_keys(roots, "root")[1]).select("node", "component")

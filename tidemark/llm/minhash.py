@@ -29,7 +29,7 @@ COORDS, MATCHES = 64, 36
 #: Bytes that the words kept in a task may take.
 _MEMO_BYTES = 24 << 20
 #: Ids up to which they are broadcast (longs, so some tens of MB); classes, and shingles of their sets, in a block on average.
-BROADCAST_IDS, BLOCK, BLOCK_SHINGLES = 1_000_000, 256, 1 << 18
+BROADCAST_IDS, BLOCK, BLOCK_SHINGLES = 1_000_000, 256, 1 << 20
 
 
 def _family(coords: int) -> tuple[np.ndarray, np.ndarray]:

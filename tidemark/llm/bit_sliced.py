@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,11 +32,11 @@ NARROW = 1 << 30
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 
-def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, x): the components as doubles, of rows with an id whose components are all finite numbers. Rows that repeat stay."""
+def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", carry: Sequence[str] = ()) -> DataFrame:
+    """(vec_id, x) and the columns `carry`: the components as doubles, of rows with an id whose components are all finite numbers. Rows that repeat stay."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
-    return df.select(F.col(key).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
+    return df.select(F.col(key).cast("long").alias("vec_id"), x.alias("x"), *carry).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
 
 
 def _wide(scale: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bit_sliced import OP6_SQL, op6_bit_sliced_top_k
 from .byte_bpe import op9_duckdb_byte_bpe
 from .conversations import OP11_SQL, op11_conversation_repair
+from .hard_negatives import OP13_SQL, op13_shared_list_negatives
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op4_min_slack_packing
 from .pii import OP3_SQL, op3_disclosure_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_duckdb_byte_bpe": op9_duckdb_byte_bpe,
     "op10_quality_ledger": op10_quality_ledger,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_shared_list_negatives": op13_shared_list_negatives,
 }
 ORACLE_SQL = {
     "op1_minhash_near_dedup": OP1_SQL,
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op7_zip_warc": OP7_SQL,
     "op10_quality_ledger": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op13_shared_list_negatives": OP13_SQL,
 }

@@ -6,6 +6,7 @@ from .bit_sliced import OP6_SQL, op6_bit_sliced_top_k
 from .byte_bpe import op9_duckdb_byte_bpe
 from .conversations import OP11_SQL, op11_conversation_repair
 from .hard_negatives import OP13_SQL, op13_shared_list_negatives
+from .language_model import op12_attention_scores
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op4_min_slack_packing
 from .pii import OP3_SQL, op3_disclosure_pii
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_duckdb_byte_bpe": op9_duckdb_byte_bpe,
     "op10_quality_ledger": op10_quality_ledger,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_attention_scores": op12_attention_scores,
     "op13_shared_list_negatives": op13_shared_list_negatives,
 }
 ORACLE_SQL = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,6 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a compressed table below the shared folder, read back: `cut` for what is large, since checkpoints are not compressed. The table stays until the folder goes."""
+    bound_batches(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; an empty array for null, empty or blank texts."""
     trimmed = F.btrim(text, F.lit(SPACE))

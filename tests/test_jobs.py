@@ -15,12 +15,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here"
 
 def test_walk_forward_is_registered_whole(spark, monkeypatch):
     given = []
-    monkeypatch.setattr(walkforward, "walk_forward", lambda features, market, windows, settings: given.append((windows, settings)) or (None, None))
+    monkeypatch.setattr(walkforward, "walk_forward", lambda features, market, windows, settings, sentiment, alerts: given.append((windows, settings, sentiment, alerts)) or (None, None))
     jobs.walk(spark, DATA)
-    (windows, s), = given
+    (windows, s, sentiment, alerts), = given
     assert list(windows) == list(WINDOWS)
-    assert (list(s.features), s.trees, s.folds, s.forest) == (list(MODEL_FEATURES), 30, 5, 100)
-    assert (jobs.PRODUCTION.trees, jobs.PRODUCTION.folds, jobs.PRODUCTION.forest) == (300, 5, 100)
+    assert (list(s.features), s.trees, s.folds, s.forest) == (list(MODEL_FEATURES), 300, 5, 100)
+    assert s.boost and s.defensives and s.meta == "logistic" and alerts.count() and sentiment.filter("sentiment_raw is not null").count()
 
 
 def test_hidden_states_of_every_window(spark):

@@ -129,8 +129,8 @@ def compute_all_features(
             **bollinger(bollinger_window),
             "atr_pct": ratio(C("atr"), C("close")),
             "volume_ratio": volume_ratio(volume_window),
-            "sma_ratio": sma_ratio(*sma_windows),
-            "sma_ratio_long": sma_ratio(*sma_long_windows),
+            "sma_20_50_ratio": sma_ratio(*sma_windows),
+            "sma_50_200_ratio": sma_ratio(*sma_long_windows),
             "target_return_1d": ret,
             "target_binary": up,
         }
@@ -138,5 +138,8 @@ def compute_all_features(
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-#: Inputs of the technical classifier.
-MODEL_FEATURES = ["close_norm", "return_1d", "return_5d", "return_20d", "rsi_14", "rsi_28", "macd", "macd_signal", "macd_hist", "bb_bandwidth", "bb_pct_b", "atr_pct", "volume_ratio", "sma_ratio", "sma_ratio_long"]
+#: Inputs of the technical classifier, under the names that stored models and configurations use.
+MODEL_FEATURES = [
+    "close_norm", "return_1d", "return_5d", "return_20d", "rsi_14", "rsi_28", "macd", "macd_signal", "macd_hist",
+    "bb_bandwidth", "bb_pct_b", "atr_pct", "volume_ratio", "sma_20_50_ratio", "sma_50_200_ratio",
+]

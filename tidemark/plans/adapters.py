@@ -80,6 +80,12 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEWS = "news AS (SELECT event_id, user_id::VARCHAR AS symbol, ts AS created_at, value % 100 / 100 AS score, event_type AS source FROM events)"
 
 
+def line_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each line that is not at full price: the deeper its discount, the lower; other days of a symbol have none."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_discount")
+    return li.filter("l_discount > 0").select(C("l_suppkey").cast("string").alias("symbol"), C("l_shipdate").cast("date").alias("session_date"), (1 - C("l_discount") * 10).alias("score"))
+
+
 def weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekdays among the days of events."""
     days = table(spark, sf_dir, "events").select(C("ts").cast("date").alias("date")).distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..operators import alerts as insiders
 from ..operators import asof, features, ledger, metrics, models, quality, regime, reports, sizing, walkforward
 from ..sources import filings as filed
 from ..sources import io
@@ -205,15 +205,17 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_asset_class(full, A.universe(spark, d)).withColumn("symbol_rank", C("symbol").cast("int"))
 
 
-#: Production settings over all model features, and the trees of the registered query: 15 models of 300 trees are 27,000 small
-#: jobs, more than 10 minutes on the small tables; see the README.
-PRODUCTION = walkforward.Settings(trees=300, folds=5, forest=100)
-REGISTERED = replace(PRODUCTION, trees=30)
+#: Production settings over all model features, with every agent.
+PRODUCTION = walkforward.Settings(trees=300, folds=5, forest=100, boost=0.6, defensives=("1", "2", "3"))
 
 
 @query("walk_forward")
 def walk(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward.walk_forward(io.landed(model_rows(spark, d), "features"), io.landed(regime_rows(spark, d), "regime"), WINDOWS, REGISTERED)[1]
+    """All windows and agents: the classifier, an analyst of line sentiment, insiders' alerts, the market's anomalies and the judge over them."""
+    rows = io.landed(model_rows(spark, d), "features")
+    alerts = insiders.insider_alerts(insiders.dedupe_filings(A.filings(spark, d)), asof.numbered_calendar(rows))
+    sentiment = reports.daily_sentiment(A.line_sentiment(spark, d))
+    return walkforward.walk_forward(rows, io.landed(regime_rows(spark, d), "regime"), WINDOWS, PRODUCTION, sentiment, alerts)[1]
 
 
 # ---- streams

@@ -287,6 +287,34 @@ def test_terms_equal_those_of_plain_counting(spark):
     assert Counter(tuple(sorted({v.lower() for v in terms_of(r)})) for r in pii.sanitise(same).collect()) == Counter(tuple(sorted(w)) for w in want)
 
 
+def test_terms_whose_lower_case_is_longer(spark):
+    rng = random.Random(11)
+    told = "mail a@b.com \u0130stanbulx \u1e9eqwx Zqwxe is the of"
+    rows = {r["doc_id"]: r for r in pii.sanitise(docs(spark, [told, *["is the of " + prose(rng, 30) for _ in range(1500)]])).collect()}
+    assert {s["value"] for s in rows[0]["spans"] if s["kind"] == "term"} >= {"\u0130stanbulx", "\u1e9eqwx", "Zqwxe"}
+    assert "stanbulx" not in rows[0]["clean"] and rows[0]["clean"].startswith("[TERM] [EMAIL] ") and rows[0]["clean"].endswith(" is the of")
+
+
+def test_marks_in_a_long_text(spark):
+    """Blocks and runs of spans make no difference: places, overlaps and letters of several bytes."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("ab\u00e9\U0001d400 ") for _ in range(3 * pii.BLOCK + 77))
+    spans, at = [], 0
+    while at < len(text) - 40:
+        at += rng.choice([0, 1, 5, 9, 30])
+        spans.append((at, rng.randint(0, 4), at + rng.randint(1, 9)))
+        at += rng.randint(0, 9)
+    spans = sorted(spans)
+    want, end = "", 0
+    for start, _, stop in spans:
+        if stop > end:
+            want, end = want + text[end:start] + "#", stop
+    want += text[end:]
+    df = spark.createDataFrame([(text, [(a, r, b) for a, r, b in spans]), ("", []), ("abc", [(0, 0, 3)])], "text string, spans array<struct<start:bigint,rank:int,end:bigint>>")
+    assert len(spans) > 2 * pii.RUN
+    assert [r[0] for r in df.select(pii._marked("spans", lambda x: F.lit("#"))).collect()] == [want, "", "#"]
+
+
 # ---- 4
 
 

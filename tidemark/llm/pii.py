@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
@@ -94,15 +94,53 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of a text's blocks, and spans that are put together at a time: work on very long texts stays in proportion to them.
+BLOCK, RUN = 2048, 256
+
+
 def _marked(spans: str, mark) -> Column:
     """The column `text` with mark(span) in place of each of the sorted spans; of spans that overlap, the first."""
+    text, long = C("text"), F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(C("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        return F.when(x["end"] <= s["at"], s).otherwise(F.struct(F.concat(s["out"], gap, mark(x)).alias("out"), x["end"].alias("at")))
+    def part(start: Column, end: Column, of: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        near = F.array_join(F.slice(of, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(near, (start % BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise(F.lit(""))
+
+    def put(of: Column):
+        def step(s: Column, x: Column) -> Column:
+            return F.when(x["end"] <= s["at"], s).otherwise(F.struct(F.concat(s["out"], part(s["at"], x["start"], of), mark(x)).alias("out"), x["end"].alias("at")))
+
+        return step
+
+    def runs(of: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            some = F.aggregate(F.slice(spans, k * RUN + 1, F.lit(RUN)), F.struct(F.lit("").alias("out"), s["at"].alias("at")), put(of))
+            return F.struct(F.concat(s["out"], F.array(some["out"])).alias("out"), some["at"].alias("at"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(C("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+        start = F.struct(F.array().cast("array<string>").alias("out"), long.alias("at"))
+        numbers = F.sequence(F.lit(0), F.floor(F.size(spans) / RUN).cast("int"))
+        return F.aggregate(numbers, start, step, lambda s: F.concat(F.array_join(s["out"], ""), part(s["at"], F.length(text).cast("long"), of)))
+
+    return F.transform(F.array(blocks), runs)[0]  # the blocks are made once
+
+
+def term_places(known: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, row, hits): where the words of a document stand that are among its terms (doc_id, row, term, share), as spans with `gone`, whether the word is removed.
+
+    Words are cut once and looked up by a join, so work grows with the text, however many terms there are.
+    """
+    text = C("text")
+    words = F.arrays_zip(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("value"), F.split(text, TERM, -1).alias("gap"))
+    own = terms.select(C("doc_id").alias("_id"), C("row").alias("_row"), "term", "share")
+    same = C("doc_id").eqNullSafe(C("_id")) & (C("row") == C("_row"))
+    with_terms = known.dropDuplicates(["doc_id", "row"]).join(own.select("_id", "_row").distinct(), same, "left_semi")
+    each = with_terms.select("doc_id", "row", F.posexplode(words).alias("k", "w")).filter(C("w.value").isNotNull()).select("doc_id", "row", "k", C("w.value").alias("value"), F.length("w.gap").alias("gap"))
+    end = F.sum((C("gap") + F.length("value")).cast("long")).over(Window.partitionBy("doc_id", "row").orderBy("k"))  # a document's own words
+    placed = each.withColumn("end", end).join(own, same & (F.lower("value") == C("term")))
+    span = F.struct((C("end") - F.length("value")).alias("start"), F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"), "value", (C("share") >= REMOVE).alias("gone"))
+    return placed.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("hits"))
 
 
 def _terms(text: Column) -> Column:
@@ -165,22 +203,18 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequ
     known = cut(found.filter(F.size("base") > 0).withColumns({"row": F.xxhash64("text"), "keys": keys, "terms": _terms(_marked("base", lambda s: F.lit(" ")))}))
     pairs = cut(pairs_of(docs, known))
     terms = pairs.join(disclosing(pairs), ["key", "term"]).groupBy("doc_id", "row", "term").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))  # a document's own words
     known = known.drop("keys", "terms")
-    same = known["doc_id"].eqNullSafe(terms["doc_id"]) & (known["row"] == terms["row"])
-    rows = known.join(terms, same, "left").select(known["doc_id"], "text", *with_it, "base", "terms")
-    either = F.array_join(F.transform("terms", lambda t: t["term"]), "|")  # letters and digits only, so nothing needs quoting
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
-    hit = F.when(C("terms").isNotNull(), spans_of(C("text"), pattern, "term")).otherwise(F.array().cast(_SPAN))
-    rows = rows.withColumn("spans", F.array_sort(F.concat("base", hit)))
-    removed = F.transform(F.filter("terms", lambda t: t["share"] >= REMOVE), lambda t: t["term"])
-    rows = rows.withColumn("_removed", F.coalesce(removed, F.array().cast("array<string>")))
+    hits = term_places(known, terms).select(C("doc_id").alias("_id"), C("row").alias("_row"), "hits")
+    rows = known.join(hits, C("doc_id").eqNullSafe(C("_id")) & (C("row") == C("_row")), "left").select("doc_id", "text", *with_it, "base", "hits")
+    plain = lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "value")])
+    hits = F.coalesce("hits", F.array())
+    rows = rows.withColumn("spans", F.array_sort(F.concat("base", F.transform(hits, plain))))
+    rows = rows.withColumn("_marks", F.array_sort(F.concat(F.transform("base", lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "value")], F.lit(False).alias("gone"))), hits)))
 
     def mark(x: Column) -> Column:
-        return F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(F.array_contains("_removed", F.lower(x["value"])), F.lit("")).otherwise(F.lit("[TERM]"))
+        return F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(x["gone"], F.lit("")).otherwise(F.lit("[TERM]"))
 
-    clean = _marked("spans", mark)
-    rows = rows.select("doc_id", "text", *with_it, "base", "spans", clean.alias("clean"))
+    rows = rows.select("doc_id", "text", *with_it, "base", "spans", _marked("_marks", mark).alias("clean"))
     none = F.array().cast(_SPAN)  # not `base` once more, which would look for its spans again
     rest = found.filter(F.size("base") == 0).select("doc_id", "text", *with_it, none.alias("base"), none.alias("spans"), C("text").alias("clean"))
     return rows.unionByName(rest)

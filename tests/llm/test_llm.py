@@ -298,7 +298,7 @@ def test_terms_whose_lower_case_is_longer(spark):
 def test_marks_in_a_long_text(spark):
     """Blocks and runs of spans make no difference: places, overlaps and letters of several bytes."""
     rng = random.Random(12)
-    text = "".join(rng.choice("ab\u00e9\U0001d400 ") for _ in range(3 * pii.BLOCK + 77))
+    text = "".join(rng.choice("ab\u00e9\U0001d400 ") for _ in range(4 * pii.BLOCK + 77))
     spans, at = [], 0
     while at < len(text) - 40:
         at += rng.choice([0, 1, 5, 9, 30])

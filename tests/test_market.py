@@ -68,6 +68,37 @@ def test_correlation_forms_agree(spark, prices):
     np.testing.assert_allclose(a["avg_correlation"], a["fast"], atol=1e-9)
 
 
+@pytest.mark.parametrize("block", [128, 4])
+def test_correlation_in_blocks_equals_pair_by_pair(spark, block):
+    """With gaps, ties and still symbols, whether the symbols lie in one block or in several."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (90, 11)) + rng.normal(0, 1, (90, 1))
+    x[:, 3] = 0.5  # stands still
+    x[40:, 4] = 0.0
+    gone = rng.random(x.shape) < 0.35
+    rows = [(f"s{k}", DAYS[t], None if t % 17 == 5 else float(x[t, k])) for t in range(90) for k in range(11) if not gone[t, k]]
+    got = {r["date"]: r["avg_correlation"] for r in regime.rolling_avg_correlation(spark.createDataFrame(rows, "symbol string, date date, ret double"), symbol_block=block).collect()}
+    series = {}
+    for s, d, r in rows:
+        if r is not None:
+            series.setdefault(s, {})[d] = r
+    want = {}
+    for a in series:
+        for b in series:
+            if a < b:
+                common = sorted(set(series[a]) & set(series[b]))
+                for t, d in enumerate(common):
+                    p, q = (np.array([series[s][c] for c in common[max(0, t - 19) : t + 1]]) for s in (a, b))
+                    want.setdefault(d, [])
+                    if len(p) >= 10 and np.ptp(p) > 0 and np.ptp(q) > 0:
+                        want[d].append(np.corrcoef(p, q)[0, 1])
+    assert set(got) == set(want) and any(v is None for v in got.values())
+    for d, v in want.items():
+        assert got[d] == (pytest.approx(np.mean(v), abs=1e-12) if v else None)
+    plan = regime.rolling_avg_correlation(spark.createDataFrame(rows, "symbol string, date date, ret double"))._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def test_breadth_and_single_symbol(spark):
     rows = [("A", DAYS[0], 0.1), ("B", DAYS[0], 0.2), ("A", DAYS[1], -0.1), ("B", DAYS[1], -0.2), ("A", DAYS[2], 0.1), ("B", DAYS[2], -0.1), ("A", DAYS[3], None)]
     got = regime.market_breadth(spark.createDataFrame(rows, "symbol string, date date, ret double")).orderBy("date").collect()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +33,110 @@ def avg_volume_ratio(bars: DataFrame, window: int = 20) -> DataFrame:
     return bars.select("date", volume_ratio(window).alias("v")).groupBy("date").agg(F.avg("v").alias("avg_volume_ratio"))
 
 
-def rolling_avg_correlation(rets: DataFrame, window: int = 20) -> DataFrame:
-    """Mean over symbol pairs of their rolling correlation, on rows that both have, from max(window // 2, 5) rows on.
-
-    The pair form is exact for any gaps; pairs grow with the square of the symbols, so choose the universe (some hundreds
-    of symbols) before, or use `complete_avg_correlation` for wide, gapless ones.
+#: Symbols of a block of the rolling correlation, on average.
+SYMBOL_BLOCK = 128
+
+
+class _Recent:
+    """The last `window` common returns of every pair of two blocks' symbols (of one block's, with `same`), date by date."""
+
+    def __init__(self, window: int, least: int, same: bool):
+        self.window, self.least, self.same = window, least, same
+        self.places: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        if same:
+            self.places = (self.places[0], self.places[0])
+        self.seen = np.zeros((0, 0), np.int64)
+        self.kept = np.zeros((2, window, 0, 0))
+
+    def _at(self, side: int, symbols: list[str]) -> np.ndarray:
+        known = self.places[side]
+        return np.array([known.setdefault(x, len(known)) for x in symbols], int)
+
+    def _room(self) -> None:
+        rows, cols = len(self.places[0]), len(self.places[1])
+        if rows > self.seen.shape[0] or cols > self.seen.shape[1]:
+            more = [(0, max(2 * n, 8) - have if n > have else 0) for n, have in zip((rows, cols), self.seen.shape, strict=True)]
+            self.seen, self.kept = np.pad(self.seen, more), np.pad(self.kept, [(0, 0), (0, 0), *more])
+
+    def day(self, symbols: tuple[list[str], list[str]], rets: tuple[np.ndarray, np.ndarray]) -> tuple[float, int, int]:
+        """(sum, number) of the correlations of a date, and how many pairs have it."""
+        at = [self._at(side, symbols[0 if self.same else side]) for side in (0, 1)]
+        x, y = rets[0], rets[0 if self.same else 1]
+        self._room()
+        i, j = np.triu_indices(len(at[0]), 1) if self.same else map(np.ravel, np.indices((len(at[0]), len(at[1]))))
+        if not len(i):
+            return 0.0, 0, 0
+        a, b = at[0][i], at[1][j]
+        if self.same:  # the pair's place is the same on every date
+            turned = a > b
+            i, j, a, b = np.where(turned, j, i), np.where(turned, i, j), np.where(turned, b, a), np.where(turned, a, b)
+        slot = self.seen[a, b] % self.window
+        self.kept[0, slot, a, b], self.kept[1, slot, a, b] = x[i], y[j]
+        self.seen[a, b] += 1
+        n = np.minimum(self.seen[a, b], self.window)
+        full = n >= self.least
+        a, b, n = a[full], b[full], n[full]
+        p, q = self.kept[0][:, a, b], self.kept[1][:, a, b]
+        there = np.arange(self.window)[:, None] < n
+        spread = lambda v: np.where(there, v, -np.inf).max(0) > np.where(there, v, np.inf).min(0)
+        moved = spread(p) & spread(q) if len(a) else np.zeros(0, bool)
+        off = lambda v: np.where(there, v - np.where(there, v, 0).sum(0) / n, 0)
+        p, q = off(p)[:, moved], off(q)[:, moved]
+        c = (p * q).sum(0) / np.sqrt((p * p).sum(0) * (q * q).sum(0))
+        return float(c.sum()), len(c), len(i)
+
+
+def _correlated(window: int, least: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = date = recent = None
+        held: tuple[list, list] = ([], [])
+        out: list[tuple] = []
+
+        def ended() -> None:
+            if date is None:
+                return
+            symbols, rets = ([x for x, _ in side] for side in held), (np.array([r for _, r in side], float) for side in held)
+            total, n, pairs = recent.day(tuple(symbols), tuple(rets))
+            if pairs:
+                out.append((date, total, n))
+
+        def told() -> pa.RecordBatch:
+            dates, totals, counts = zip(*out, strict=True) if out else ((),) * 3
+            return pa.RecordBatch.from_arrays([pa.array(dates, pa.int32()).cast(pa.date32()), pa.array(totals, pa.float64()), pa.array(counts, pa.int64())], ["date", "total", "n"])
+
+        for batch in batches:
+            days = batch.column(1).cast(pa.int32()).to_pylist()
+            for c, d, side, symbol, ret in zip(batch.column(0).to_pylist(), days, *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if c != cell or d != date:
+                    ended()
+                    if c != cell:
+                        recent = _Recent(window, least, c // blocks == c % blocks)
+                    cell, date, held = c, d, ([], [])
+                held[side].append((symbol, ret))
+            yield told()
+            out.clear()
+        ended()
+        yield told()
+
+    return run
+
+
+def rolling_avg_correlation(rets: DataFrame, window: int = 20, symbol_block: int = SYMBOL_BLOCK) -> DataFrame:
+    """Mean over symbol pairs of their rolling correlation over the last `window` dates that both have, from max(window // 2, 5) of them on.
+
+    Symbols are dealt into blocks; a task takes two blocks (or one with itself) date by date and holds each pair's last returns, so pairs are
+    numbers in arrays and never rows: a symbol's returns are copied once a block, and a date leaves a task as one sum and one count. Exact for any gaps.
+    (symbol, date) is a key. A pair's window with a symbol that stands still has no correlation; a date without any is null.
     """
-    a = rets.select("date", F.col("symbol").alias("a"), F.col("ret").alias("x")).dropna()
-    b = rets.select("date", F.col("symbol").alias("b"), F.col("ret").alias("y")).dropna()
-    w = Window.partitionBy("a", "b").orderBy("date").rowsBetween(-(window - 1), 0)
-    least = max(window // 2, 5)
-    pairs = a.join(b, "date").filter("a < b")
-    moved = (F.max("x").over(w) > F.min("x").over(w)) & (F.max("y").over(w) > F.min("y").over(w))
-    c = F.when((F.count(F.lit(1)).over(w) >= least) & moved, F.corr("x", "y").over(w))
-    return pairs.select("date", c.alias("c")).groupBy("date").agg(F.avg("c").alias("avg_correlation"))
+    rows = rets.select("date", F.col("symbol").cast("string").alias("symbol"), "ret").dropna()
+    blocks = max(1, -(-rows.select("symbol").distinct().count() // symbol_block))
+    own, other = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"), F.col("_other")
+    dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cell = F.least("_own", other) * blocks + F.greatest("_own", other)
+    cells = dealt.select(cell.alias("cell"), "date", (F.col("_own") > other).cast("int").alias("side"), "symbol", "ret")
+    cells = cells.repartition(blocks * (blocks + 1) // 2, "cell").sortWithinPartitions("cell", "date", "side", "symbol")
+    found = cells.mapInArrow(_correlated(window, max(window // 2, 5), blocks), "date date, total double, n long")
+    return found.groupBy("date").agg(F.when(F.sum("n") > 0, F.sum("total") / F.sum("n")).alias("avg_correlation"))
 
 
 def complete_avg_correlation(rets: DataFrame, window: int = 20) -> DataFrame:

@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expr import by_symbol, guarded, ratio
+from .scans import Ewm, continued, ewm, ranged  # noqa: F401  ewm is part of this module's surface
 
 C = F.col
 
 
-@dataclass(frozen=True)
-class Ewm:
-    """An exponentially weighted mean of `source`: adjust as pandas does, null until `least` values were seen."""
-
-    source: str
-    target: str
-    alpha: float
-    adjust: bool = True
-    least: int = 0
-
-
-def ewm(df: DataFrame, specs: Sequence[Ewm], key: str = "symbol", order: str = "date") -> DataFrame:
-    """All the means of a symbol in one grouped pass; a null value only lets the older ones decay.
-
-    A recursive mean has no window form, so each symbol's bars, some thousands of rows, go to a task as one Arrow group.
-    """
-    schema = T.StructType(list(df.schema.fields))
-    for s in specs:
-        schema = schema.add(s.target, "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{s.target: pdf[s.source].astype("float64").ewm(alpha=s.alpha, adjust=s.adjust, min_periods=s.least, ignore_na=False).mean() for s in specs})
-
-    return df.groupBy(key).applyInPandas(run, schema)
-
-
 def returns(n: int = 1, close: str = "close") -> Column:
     """Change against the n-th bar before; null without one or from a close of 0."""
     return ratio(C(close), F.lag(close, n).over(by_symbol())) - 1
@@ -105,29 +74,12 @@ def compute_all_features(
     specs = [Ewm("close", "_fast", 2 / (fast + 1), False), Ewm("close", "_slow", 2 / (slow + 1), False), Ewm("_tr", "atr", 1 / atr_window, True, atr_window)]
     for w in (rsi_window, rsi_window_long):
         specs += [Ewm("_gain", f"_gain_{w}", 1 / w, True, w), Ewm("_loss", f"_loss_{w}", 1 / w, True, w)]
-    schema = T.StructType(list(df.schema.fields))
-    for name in [s.target for s in specs] + ["macd", "macd_signal"]:
-        schema = schema.add(name, "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        for s in specs:
-            pdf[s.target] = pdf[s.source].astype("float64").ewm(alpha=s.alpha, adjust=s.adjust, min_periods=s.least).mean()
-        pdf["macd"] = pdf["_fast"] - pdf["_slow"]
-        pdf["macd_signal"] = pdf["macd"].ewm(alpha=2 / (signal + 1), adjust=False).mean()
-        return pdf
-
-    df = df.groupBy("symbol").applyInPandas(run, schema)
     ret, up = target()
-    df = df.withColumns(
+    df = df.withColumns(  # all windows of a symbol in one stage, before rows are dealt out by range
         {
             "close_norm": close_norm(close_norm_window),
             **{f"return_{n}d": returns(n) for n in (1, 5, 20)},
-            "rsi_14": _rsi(rsi_window),
-            "rsi_28": _rsi(rsi_window_long),
-            "macd_hist": C("macd") - C("macd_signal"),
             **bollinger(bollinger_window),
-            "atr_pct": ratio(C("atr"), C("close")),
             "volume_ratio": volume_ratio(volume_window),
             "sma_20_50_ratio": sma_ratio(*sma_windows),
             "sma_50_200_ratio": sma_ratio(*sma_long_windows),
@@ -135,6 +87,9 @@ def compute_all_features(
             "target_binary": up,
         }
     )
+    df = continued(ranged(df, "symbol", "date"), specs, "symbol").withColumn("macd", C("_fast") - C("_slow"))
+    df = continued(df, [Ewm("macd", "macd_signal", 2 / (signal + 1), False)], "symbol")
+    df = df.withColumns({"rsi_14": _rsi(rsi_window), "rsi_28": _rsi(rsi_window_long), "macd_hist": C("macd") - C("macd_signal"), "atr_pct": ratio(C("atr"), C("close"))})
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 

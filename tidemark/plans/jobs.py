@@ -154,10 +154,9 @@ def unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regime_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All market features of the equity symbols (of all symbols if there is no equity), held as they are read many times: a row a date."""
-    bars, equity = A.bars(spark, d), A.universe(spark, d).filter("asset_class = 'equity'").select("symbol")
-    own = bars.join(equity, "symbol", "left_semi")
-    return regime.build_regime_features(bars if own.isEmpty() else own, A.index_series(spark, d)).persist()
+    """All market features of the equity symbols (of all symbols if there is no equity), written once as they are read many times: a row a date."""
+    own = quality.filter_asset_class(A.bars(spark, d), A.universe(spark, d))
+    return io.landed(regime.build_regime_features(own, A.index_series(spark, d)), "regime")
 
 
 @query("isolation_forest")
@@ -215,7 +214,7 @@ def walk(spark: SparkSession, d: str) -> DataFrame:
     rows = io.landed(model_rows(spark, d), "features")
     alerts = insiders.insider_alerts(insiders.dedupe_filings(A.filings(spark, d)), asof.numbered_calendar(rows))
     sentiment = reports.daily_sentiment(A.line_sentiment(spark, d))
-    return walkforward.walk_forward(rows, io.landed(regime_rows(spark, d), "regime"), WINDOWS, PRODUCTION, sentiment, alerts)[1]
+    return walkforward.walk_forward(rows, regime_rows(spark, d), WINDOWS, PRODUCTION, sentiment, alerts)[1]
 
 
 # ---- streams

@@ -83,6 +83,14 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """`df` checkpointed in the shared folder: its rows stay in the tasks they are in, whatever is computed from them."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; below a local one only where none is configured and everything runs in this process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -111,6 +111,27 @@ def test_asof_keeps_left_rows(spark):
     assert [r["v"] for r in asof.asof_backward(left, right, [], "date", "close", "v").orderBy("date").collect()] == [None] + [20.0] * 9 + [25.0] * 2
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 64])
+def test_asof_over_buckets_equals_pandas(spark, bucket):
+    rng = np.random.default_rng(3)
+    day = lambda k: DAYS[0] + dt.timedelta(days=int(k))
+    left = [(k, day(t), i) for i, (k, t) in enumerate(zip(rng.choice(["a", "b", "c"], 300), rng.integers(0, 400, 300), strict=True))] + [("a", None, 999), (None, day(5), 998)]
+    right = [(k, day(t), None if t % 5 == 0 else float(t)) for k in "ab" for t in np.unique(rng.integers(100, 400, 40))] + [("z", day(1), 1.0)]
+    a, b = spark.createDataFrame(left, "k string, d date, i int"), spark.createDataFrame(right, "k string, d date, v double")
+    got = asof.asof_backward(a, b, ["k"], "d", "v", bucket=bucket)
+    rows = {r["i"]: r["v"] for r in got.collect()}
+    for k, d, i in left:
+        past = [(e, v) for key, e, v in right if key == k and d is not None and e <= d and v is not None]
+        assert rows[i] == (max(past)[1] if past else None)
+    lone = asof.asof_backward(a.select("d", "i"), b.filter("k = 'a'").select("d", "v"), [], "d", "v", bucket=bucket)
+    rows = {r["i"]: r["v"] for r in lone.collect()}
+    for _, d, i in left:
+        past = [(e, v) for key, e, v in right if key == "a" and d is not None and e <= d and v is not None]
+        assert rows[i] == (max(past)[1] if past else None)
+    windows = [line for line in lone._jdf.queryExecution().toString().split("\n") if "windowspecdefinition" in line]
+    assert windows and all("windowspecdefinition(_bucket" in line for line in windows)
+
+
 def test_sessions_after_close_weekend_and_end(spark):
     cal = asof.numbered_calendar(spark.createDataFrame([(d,) for d in DAYS[:6]], "date date"))
     news = spark.createDataFrame([("2021-01-04 20:59:00",), ("2021-01-04 21:00:00",), ("2021-01-09 12:00:00",), ("2021-01-12 12:00:00",)], "t string").withColumn("created_at", F.to_timestamp("t"))

@@ -4,22 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, target: str | None = None) -> DataFrame:
-    """The rows of `left` with the last non-null `value` of `right` at or before their `on`; null without one.
+#: Days, or units of a number, in a bucket of the as-of join.
+BUCKET = 64
 
-    Both tables are laid in one order per key; right rows come first on equal dates. One shuffle, no range join. `by` may
-    be empty only for short tables, such as one index series.
+
+def _bucket(df: DataFrame, on: str, size: int) -> Column:
+    kind = df.schema[on].dataType
+    if isinstance(kind, T.DateType):
+        at = F.unix_date(F.col(on))
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        at = F.unix_date(F.to_date(on))
+    else:
+        at = F.col(on)
+    return F.floor(at / size)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, target: str | None = None, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `left` with the last non-null `value` of `right` at or before their `on`; null without one, or without an `on`.
+
+    Time is cut into buckets. Rows meet inside their (key, bucket), where right rows come first on equal dates, so neither a long key nor a table
+    without keys lies in one task. What an earlier bucket leaves is a key's list of last values, one a bucket, of which each bucket of `left` takes the one before it, as a row at
+    its begin. `by` may be empty.
     """
-    target = target or value
-    a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*by, on, F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(target, F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 1").drop("_side", "_v")
+    target, keys = target or value, list(by)
+    a = left.withColumns({"_bucket": _bucket(left, on, bucket), "_side": F.lit(2), "_v": F.lit(None).cast(right.schema[value].dataType)})
+    b = right.filter(F.col(value).isNotNull() & F.col(on).isNotNull()).select(*keys, on, _bucket(right, on, bucket).alias("_bucket"), F.lit(1).alias("_side"), F.col(value).alias("_v"))
+    last = b.groupBy(*keys, "_bucket").agg(F.max_by("_v", on).alias("_v"))
+    lists = last.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_v"))).alias("_lasts"))  # a row a key, an entry a bucket
+    begun = a.select(*keys, "_bucket").filter("_bucket is not null").distinct()
+    begun = begun.join(lists, keys) if keys else begun.join(F.broadcast(lists), how="cross")
+    before = F.filter("_lasts", lambda x: x["_bucket"] < F.col("_bucket"))
+    begun = begun.select(*keys, "_bucket", F.lit(0).alias("_side"), F.try_element_at(before, F.lit(-1))["_v"].alias("_v"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(F.when(F.col("_side") == 0, 0).otherwise(1), on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(begun, allowMissingColumns=True)
+    both = both.withColumn(target, F.when(F.col(on).isNotNull(), F.last("_v", ignorenulls=True).over(w)))
+    return both.filter("_side = 2").drop("_side", "_v", "_bucket")
 
 
 def densify(df: DataFrame, calendar: DataFrame, keys: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources import filings as filed
 from ..sources import io
 from ..streaming import daily
 from . import adapters as A
-from .queries import CAL_SQL, HOLDOUT, SQL, START, WINDOWS, W, book_rows, days, query, roll, rounded
+from .queries import CAL_SQL, HOLDOUT, SQL, START, WINDOWS, W, book_rows, days, query, roll, rounded, windowed
 
 C = F.col
 
@@ -82,6 +82,14 @@ def bar_files(spark: SparkSession, d: str) -> DataFrame:
     return io.read_bars(spark, path).groupBy(C("symbol").cast("string").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 3).alias("close"))
 
 
+@query("bar_table", SQL["window_features"])
+def bar_table(spark: SparkSession, d: str) -> DataFrame:
+    """The window features over bars that were stored in buckets of symbols: no exchange after the scan."""
+    path = io.work_dir(spark, "bar-table")
+    io.write_bar_table(A.bars(spark, d), path)
+    return windowed(io.read_bar_table(spark, path))
+
+
 @query("add_business_days", f"WITH {CAL_SQL}, {A.FILINGS}, f AS (SELECT DISTINCT filing_date FROM filings) SELECT f.filing_date, n.date AS signal_date FROM f ASOF LEFT JOIN cal b ON f.filing_date <= b.date LEFT JOIN cal n ON n.idx = b.idx + 2")
 def later(spark: SparkSession, d: str) -> DataFrame:
     f = A.filings(spark, d).select("filing_date").distinct()

@@ -123,10 +123,14 @@ SELECT symbol, date, round(return_1d, 6) AS return_1d, round(return_5d, 6) AS re
   round(greatest(high - low, abs(high - prev), abs(low - prev)), 9) AS true_range, round(nxt / nullif(close, 0) - 1, 6) AS target_return_1d, CASE WHEN nxt IS NOT NULL THEN (nxt > close)::INT::DOUBLE END AS target_binary FROM f""",
 )
 def window_features(spark: SparkSession, d: str) -> DataFrame:
+    return windowed(A.bars(spark, d))
+
+
+def windowed(bars: DataFrame) -> DataFrame:
     ret, up = features.target()
     cols = {f"return_{n}d": features.returns(n) for n in (1, 5, 20)} | {"close_norm": features.close_norm(), "sma_ratio": features.sma_ratio(20, 50), "sma_ratio_long": features.sma_ratio(50, 200)}
     cols |= features.bollinger() | {"volume_ratio": features.volume_ratio(), "true_range": features.true_range(), "target_return_1d": ret, "target_binary": up}
-    return A.bars(spark, d).select("symbol", "date", *[F.round(c, 9 if n == "true_range" else 6).alias(n) for n, c in cols.items()])  # ranges of prices are short decimals, with ties at 6 digits
+    return bars.select("symbol", "date", *[F.round(c, 9 if n == "true_range" else 6).alias(n) for n, c in cols.items()])  # ranges of prices are short decimals, with ties at 6 digits
 
 
 @query(

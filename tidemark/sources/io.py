@@ -24,8 +24,8 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from one Parquet file per symbol, named after it, or from folders symbol=...; names of columns in any case."""
-    df = spark.read.parquet(path)
+    """Bars from one Parquet file per symbol, named after it, or from folders symbol=...; names of columns in any case. Files may differ in further columns and in the order of all."""
+    df = spark.read.option("mergeSchema", True).parquet(path)
     if "symbol" not in df.columns:
         df = df.withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1))
     df = df.select(*[C(c).alias(c.lower()) for c in df.columns])
@@ -37,6 +37,37 @@ def write_bars(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("symbol", "date", *BARS).repartition("symbol").write.mode(mode).partitionBy("symbol").parquet(path)
 
 
+#: Buckets of a stored bar table, by default.
+BUCKETS = 64
+_LAYOUT = "_layout"
+
+
+def write_bar_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The bars as a table in `buckets` hash buckets of symbols, each sorted by symbol and date; the number is kept beside them.
+
+    Rows are brought together once, when they are written; windows, aggregates and joins by symbol over the table then need no exchange. A folder that
+    exists is not written over.
+    """
+    spark = df.sparkSession
+    name = f"bars_{uuid.uuid4().hex}"
+    rows = df.select(C("symbol").cast("string").alias("symbol"), "date", *BARS).repartition(buckets, "symbol")
+    rows.write.bucketBy(buckets, "symbol").sortBy("symbol", "date").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay where they are
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(f"{path}/{_LAYOUT}")
+
+
+def read_bar_table(spark: SparkSession, path: str) -> DataFrame:
+    """The bars of `write_bar_table`, by any session, with what is known of how they lie.
+
+    Joins of two such tables by symbol need no exchange; those by symbol and date neither, if spark.sql.requireAllClusterKeysForCoPartition is false.
+    """
+    buckets = spark.read.schema("buckets int").json(f"{path}/{_LAYOUT}").first()["buckets"]
+    name = f"bars_{uuid.uuid4().hex}"
+    columns = ", ".join(f"{c} DOUBLE" for c in BARS)
+    spark.sql(f"CREATE TABLE {name} (symbol STRING, date DATE, {columns}) USING parquet CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`base` with the rows of `delta`; of rows with equal keys the last one stays, delta's after base's, then by all columns."""
     both = base.withColumn("_seq", F.lit(0)).unionByName(delta.withColumn("_seq", F.lit(1)), allowMissingColumns=True)

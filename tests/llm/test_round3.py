@@ -200,17 +200,16 @@ def test_windows_score_each_token_once_as_one_by_one():
 def test_gradient_against_differences():
     rng = np.random.default_rng(3)
     model = small_model()
-    keys, seen = rng.integers(0, L.CLASSES, (4, 2 * L.SPAN)), np.ones((4, 2 * L.SPAN), bool)
-    seen[0, :20], seen[1, 25:] = False, False
-    target, scored = rng.integers(0, L.CLASSES, (4, L.SPAN)), seen[:, L.SPAN :]
+    keys, target = rng.integers(0, L.CLASSES, (4, 2 * L.SPAN)), rng.integers(0, L.CLASSES, (4, L.SPAN))
+    keys[0, :20], keys[1, 25:], target[0, :4], target[1, 9:] = L.PAD, L.PAD, L.PAD, L.PAD
 
     def loss(flat):
-        logp, _ = L.Attention(flat, model.base.astype(float)).forward(keys, seen)
-        return -np.where(scored, np.take_along_axis(logp, target[..., None], -1)[..., 0], 0).sum() / scored.sum()
+        return -L.Attention(flat, base).of(keys, target).sum() / (target != L.PAD).sum()
 
+    base = model.base[:-1].astype(float)
     flat = model.flat.astype(float)
-    m = L.Attention(flat, model.base.astype(float))
-    g = m.gradient(*m.forward(keys, seen), target, scored)
+    m = L.Attention(flat, base)
+    g = m.gradient(*m.forward(keys), target)
     at = 0
     for k, s in L.shapes().items():
         for i in rng.choice(math.prod(s), 6):
@@ -220,6 +219,17 @@ def test_gradient_against_differences():
         at += math.prod(s)
 
 
+def test_neighbours_are_those_of_the_texts():
+    rng = np.random.default_rng(8)
+    lengths = np.array([0, 1, 3, 0, 2, 1])
+    r = {"doc_ids": list(range(40)), "sizes": (sizes := rng.integers(0, 6, 40)).astype("<i4").tobytes(), "places": rng.integers(1, 6, sizes.sum()).astype("<i4").tobytes(), "ids": rng.integers(0, 30, 7).astype("<u2").tobytes(), "lengths": lengths.astype("<u2").tobytes()}
+    b, classes = L.Block(r), rng.integers(0, L.CLASSES, 31)
+    _, seq, n = b.texts(classes)
+    known, want = np.repeat(~b.held, n), np.zeros(L.CLASSES**2)
+    np.add.at(want, (seq[:-1] * L.CLASSES + seq[1:])[known], 1)
+    assert b.held.any() and np.array_equal(L.neighbour_counts(b, classes), want)
+
+
 def test_probabilities_add_up():
     counts = np.random.default_rng(5).integers(0, 50, 1000) ** 2
     classes, inside = L.grouped(counts)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import by_symbol, ratio
+from ..sources.io import landed
 from .asof import asof_backward
 from .features import sma
 
@@ -34,6 +35,7 @@ def buy_and_hold(bars: DataFrame, capital: float = 10_000.0, commission: float =
 
     A symbol without a valid price that day stays cash; gaps hold the last price. Slice the bars to a half-open range before.
     """
+    bars = landed(bars.select("symbol", "date", "close"), "held")  # read several times below
     days = bars.select("date").distinct()
     first_day = F.broadcast(bars.agg(F.min("date").alias("_start")))  # one row
     firsts = bars.groupBy("symbol").agg(F.min_by("close", "date").alias("_first"), F.min("date").alias("_from")).join(first_day, how="cross")

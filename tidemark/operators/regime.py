@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import guarded, ratio
 from .asof import asof_backward, densify
 from .features import returns, volume_ratio
+from .quantiles import percentiles
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:
@@ -184,8 +185,8 @@ def common_returns(bars: DataFrame) -> DataFrame:
 
 
 def train_percentile(df: DataFrame, col: str, p: float) -> DataFrame:
-    """The linearly interpolated percentile, as one row."""
-    return df.agg(F.percentile(F.col(col), F.lit(p / 100)).alias("threshold"))
+    """The linearly interpolated percentile, as one row; found by counting when this is called."""
+    return percentiles(df, col, [p]).select("threshold")
 
 
 def dynamic_kelly_fraction(days: DataFrame, train: DataFrame, percentile: float = 70.0, base: float = 0.5, boost: float = 0.6) -> DataFrame:

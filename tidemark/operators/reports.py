@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from . import quantiles
 
 C = F.col
 
@@ -56,9 +58,8 @@ def top_anomalies(days: DataFrame, n: int = 20) -> DataFrame:
 
 
 def percentile_sweep(train: DataFrame, val: DataFrame, percentiles: Sequence[float]) -> DataFrame:
-    """Vetoed validation days per window for each training percentile of the score; one pass over each table."""
-    cuts = train.groupBy("iteration").agg(F.percentile(C("score"), F.array(*[F.lit(p / 100) for p in percentiles])).alias("t"))
-    cuts = cuts.select("iteration", F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percentiles]).alias("p"), C("t").alias("t"))).alias("z")).select("iteration", C("z.p").alias("percentile"), C("z.t").alias("threshold"))
+    """Vetoed validation days per window for each training percentile of the score; the percentiles are counted together."""
+    cuts = quantiles.percentiles(train, "score", [float(p) for p in percentiles], "iteration")
     rows = val.join(F.broadcast(cuts), "iteration").withColumn("veto", (C("score") < C("threshold")).cast("int"))
     return veto_stats(rows, ["iteration", "percentile"])
 
@@ -88,11 +89,33 @@ def latest_verdict(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(log.agg(F.max("date").alias("date"))), "date", "left_semi")
 
 
+def _all_trades(logs: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
+
+
+def trades_after(logs: Sequence[DataFrame], limit: int, cursor: Mapping[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The `limit` rows that follow the row `cursor` (the last of the page before; None for the first page), newest first, and the number of rows in all.
+
+    The order is that of `page_trades`; all columns take part, so pages neither overlap nor leave rows out, rows that are equal in all columns excepted: they count as
+    one place. Rows newer than the cursor's date are not read where the log's files or folders tell dates, and a page costs a scan for its `limit` rows, however late it comes.
+    """
+    both = _all_trades(logs)
+    order = ["date", *[c for c in both.columns if c != "date"]]
+    rows = both
+    if cursor is not None:
+        at = {c: F.lit(cursor[c]).cast(both.schema[c].dataType) for c in order}
+        after = C("date") < at["date"]
+        same = C("date") == at["date"]
+        for c in order[1:]:  # ascending, nulls first, within a date
+            later = C(c).isNotNull() if cursor[c] is None else C(c) > at[c]
+            after, same = after | (same & later), same & C(c).eqNullSafe(at[c])
+        rows = both.filter((C("date") <= at["date"]) & after)
+    return rows.orderBy(F.desc("date"), *order[1:]).limit(limit), both.agg(F.count(F.lit(1)).alias("total"))
+
+
 def page_trades(logs: Sequence[DataFrame], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A page of the logs' rows, newest first, and the number of rows in all."""
-    both = logs[0]
-    for x in logs[1:]:
-        both = both.unionByName(x, allowMissingColumns=True)
+    """A page of the logs' rows, newest first, and the number of rows in all; `trades_after` reads late pages as cheaply as early ones."""
+    both = _all_trades(logs)
     return both.orderBy(F.desc("date"), *[c for c in both.columns if c != "date"]).offset(offset).limit(limit), both.agg(F.count(F.lit(1)).alias("total"))
 
 

@@ -592,6 +592,17 @@ def page(spark: SparkSession, d: str) -> DataFrame:
     return reports.page_trades([t.filter("action = 'BUY'").drop("action"), t.filter("action = 'SELL'").drop("action")], 25, 50)[0]
 
 
+@query("trades_after", f"WITH {A.TRADES} SELECT date, trade_id, symbol, (SELECT count(*) FROM trades) AS total FROM trades ORDER BY date DESC, trade_id LIMIT 25 OFFSET 50")
+def page_by_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of 25 from the last row of the second, with the number of all rows."""
+    t = A.trades(spark, d).select("date", "trade_id", "symbol", "action")
+    logs, cursor = [t.filter("action = 'BUY'").drop("action"), t.filter("action = 'SELL'").drop("action")], None
+    for _ in range(2):
+        cursor = reports.trades_after(logs, 25, cursor)[0].collect()[-1].asDict()
+    page, total = reports.trades_after(logs, 25, cursor)
+    return page.join(total, how="cross")
+
+
 @query("pending_days", f"WITH {A.BARS} SELECT DISTINCT date FROM bars WHERE date > DATE '2001-01-01' AND date NOT IN (SELECT date FROM bars WHERE symbol = '1' AND date > DATE '2001-01-01') AND date > (SELECT max(date) FROM bars WHERE symbol = '1' AND date <= DATE '2001-01-01')")
 def pending(spark: SparkSession, d: str) -> DataFrame:
     cal = A.bars(spark, d).select("symbol", "date")

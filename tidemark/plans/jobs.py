@@ -235,13 +235,19 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_news_sessions", SQL["news_sessions"])
 def stream_news(spark: SparkSession, d: str) -> DataFrame:
-    """The sessions' sentiment from a stream; complete output, rewritten by each batch."""
+    """The sessions' sentiment from a stream in append mode: each session is put out once, when it has closed; a heartbeat beyond the calendar closes the last ones."""
     cal = asof.numbered_calendar(A.weekdays(spark, d))
+    end = F.lit("2100-01-01").cast("date")
+    sessions = asof.session_map(cal).select("day", "session").unionByName(spark.range(1).select(end.alias("day"), end.alias("session")))
+    shape = "symbol string, created_at timestamp, score double"
+    beats, out = io.work_dir(spark, "heartbeats"), io.work_dir(spark, "sessions")
+    spark.createDataFrame([], shape).write.parquet(beats)
     news = event_stream(spark, d).select(C("user_id").cast("string").alias("symbol"), C("ts").cast("timestamp").alias("created_at"), (C("value") % 100 / 100).alias("score"))
-    out = io.work_dir(spark, "sessions")
-    means = daily.news_by_session(news, asof.session_map(cal))
-    (means.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination())
-    return rounded(spark.read.parquet(out), 10).withColumnRenamed("n_news", "n")
+    means = daily.news_by_session(news.unionByName(daily.session_files(spark, beats, shape)), sessions)
+    daily.run_sessions(means, out, f"{out}-log")
+    spark.range(1).select(F.lit(None).cast("string").alias("symbol"), end.cast("timestamp").alias("created_at"), F.lit(None).cast("double").alias("score")).write.mode("append").parquet(beats)
+    daily.run_sessions(means, out, f"{out}-log")
+    return rounded(spark.read.schema("symbol string, session_date date, sentiment_raw double, n_news long").parquet(out), 10).withColumnRenamed("n_news", "n")
 
 
 @query("stream_upsert", "SELECT user_id, ts::DATE AS date, max(value) AS value FROM events GROUP BY 1, 2")

@@ -149,21 +149,27 @@ def sweep(spark: SparkSession, path: str, kept: int = KEPT_MANIFESTS) -> list[st
 # ---- news
 
 
-def late_news(session_date: Column, newest: Column, delay_days: int) -> Column:
-    """Whether a row comes after its session was closed by a watermark at `newest` less the delay."""
-    return F.date_add(session_date, 1).cast("timestamp") <= newest - F.make_dt_interval(F.lit(delay_days))
-
-
 def news_by_session(news: DataFrame, sessions: DataFrame, delay: str = "3 days", close_hour: int = 16, zone: str = "America/New_York") -> DataFrame:
     """Mean score per symbol and session of a stream (symbol, created_at, score), with the static map (day, session) of operators.asof.session_map.
 
-    News from the closing hour on goes to the next session; with output mode append, a session's row comes when the watermark has
-    passed its end.
+    News from the closing hour on goes to the next session. A session's event time is its closing instant: in output mode append its rows come, once, when the newest session seen
+    closes `delay` later, then leave the state, and news of it that comes after that is dropped (and counted, see `run_sessions`). Rows without a symbol
+    only move time on, as a heartbeat does.
     """
     local = F.from_utc_timestamp("created_at", zone)
     day = F.when(F.hour(local) >= close_hour, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
-    rows = news.withWatermark("created_at", delay).withColumn("day", day).join(F.broadcast(sessions.select("day", "session")), "day")
-    return rows.groupBy("symbol", C("session").alias("session_date")).agg(F.avg("score").alias("sentiment_raw"), F.count(F.lit(1)).alias("n_news"))
+    rows = news.withColumn("day", day).join(F.broadcast(sessions.select("day", "session")), "day")
+    closes = F.to_utc_timestamp(C("session").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(close_hour)), zone)
+    rows = rows.withColumn("closes_at", closes).withWatermark("closes_at", delay)
+    return rows.groupBy("symbol", C("session").alias("session_date"), "closes_at").agg(F.avg("score").alias("sentiment_raw"), F.count("symbol").alias("n_news")).filter("n_news > 0").drop("closes_at")
+
+
+def run_sessions(means: DataFrame, out: str, checkpoint: str) -> list[dict[str, int]]:
+    """Append the sessions that have closed to the table `out`, and stop. One entry a micro-batch: `late`, rows that came too late (those of a symbol and session
+    that came together count once), and `open`, rows that the state still holds."""
+    query = means.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [{"late": sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), "open": sum(o["numRowsTotal"] for o in p["stateOperators"])} for p in query.recentProgress]
 
 
 BOOK = "account string, date date, cash double, invested double, n_positions int"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,6 +63,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what no frame refers to any more, between rounds of many small jobs: Spark drops shuffle files, checkpoints and their plans only when the driver collects its memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; an empty array for null, empty or blank texts."""
     trimmed = F.btrim(text, F.lit(SPACE))

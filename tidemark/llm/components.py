@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let_go
 
 
 #: Rows of one key that a task may get at least, and keys with more than that which are told to every task at most.
@@ -57,5 +57,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         moved = edges.join(nearest, "u").select(F.col("p").alias("pu"), "v").join(nearest.withColumnRenamed("u", "v"), "v").select(F.col("pu").alias("u"), F.col("p").alias("v"))
         edges = cut(moved.filter("u <> v").distinct())
         step += 1
+        let_go(edges.sparkSession)
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(least, "root").select("node", "component")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, read_table, slices
+from .common import cut, give_back, let_go, read_table, slices
 from .components import connected_components, hot_keys, spread_join
 
 #: At similarity 0.8 a pair agrees on fewer than 36 of 64 coordinates with a chance below one in 100,000.
@@ -220,6 +220,7 @@ def similar_components(docs: DataFrame, classes: DataFrame, postings: DataFrame,
     hubs = postings.groupBy("key").agg(F.min("id").alias("b"))
     pairs = postings.join(hubs, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links = cut(_confirmed(_agreeing(pairs, classes, matches, percent / 100), docs, words, percent))
+    let_go(docs.sparkSession)
     found = cut(connected_components(links)).withColumnRenamed("node", "id")
     listed = postings.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     main = listed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
@@ -227,6 +228,7 @@ def similar_components(docs: DataFrame, classes: DataFrame, postings: DataFrame,
     if main.isEmpty():
         return found
     more = cut(_cross_links(listed.join(main.select("key"), "key"), main, docs, classes, words, percent, matches))
+    let_go(docs.sparkSession)
     if more.isEmpty():
         return found
     return connected_components(links.union(more)).withColumnRenamed("node", "id")
@@ -246,6 +248,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, coords: in
     known = rows.filter("doc_id is not null and content is not null")
     classes = cut(known.groupBy("content").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("content", F.col("m.doc_id").alias("id"), "m.n_shingles", "m.sig"))
     postings = cut(prefix_postings(classes, matches))
+    let_go(df.sparkSession)
     found = similar_components(docs, classes, postings, words, percent, matches)
     members = classes.select("content", "id").join(found, "id", "left").select("content", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "content").join(members, "content", "left")

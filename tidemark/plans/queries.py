@@ -685,12 +685,14 @@ def regime_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "common_returns",
-    f"""WITH {A.BARS}, {A.UNIVERSE}, e AS (SELECT symbol, date, close FROM bars WHERE symbol IN (SELECT symbol FROM universe WHERE asset_class = 'gold')),
-p AS (SELECT s.symbol, c.date, e.close FROM (SELECT DISTINCT symbol FROM e) s CROSS JOIN (SELECT DISTINCT date FROM e) c LEFT JOIN e ON e.symbol = s.symbol AND e.date = c.date)
-SELECT symbol, date, round(close / nullif(lag(close) OVER {W}, 0) - 1, 6) AS ret FROM p""",
+    f"""WITH {A.BARS}, p AS (SELECT s.symbol, c.date, b.close FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN (SELECT DISTINCT date FROM bars) c LEFT JOIN bars b ON b.symbol = s.symbol AND b.date = c.date),
+r AS (SELECT symbol, date, close / nullif(lag(close) OVER {W}, 0) - 1 AS ret FROM p)
+SELECT date, count(*) AS n_symbols, count(ret) AS n, round(sum(ret), 5) AS total, round(max(ret), 6) AS best, round(min(ret), 6) AS worst FROM r GROUP BY date""",
 )
 def common_returns(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(regime.common_returns(quality.filter_asset_class(A.bars(spark, d), A.universe(spark, d), "gold")))
+    """All symbols' returns on the common dates, put together by date."""
+    rows = regime.common_returns(A.bars(spark, d))
+    return rows.groupBy("date").agg(F.count(F.lit(1)).alias("n_symbols"), F.count("ret").alias("n"), F.round(F.sum("ret"), 5).alias("total"), F.round(F.max("ret"), 6).alias("best"), F.round(F.min("ret"), 6).alias("worst"))
 
 
 @query(

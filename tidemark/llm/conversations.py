@@ -384,7 +384,8 @@ def repair(rows: DataFrame) -> DataFrame:
     result = [f.split()[0] for f in _RESULT.split(", ")]
     chunks = gathered.filter("open").select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "conv_id", "part", "seq", "rows")
     place = ["conv", "part", "seq"]
-    given = chunks.join(_earlier(chunks), place, "left").select(*place, "rows", "before")
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # chunks are few bytes and much work
+    given = chunks.join(_earlier(chunks), place, "left").select(*place, "rows", "before").repartition(tasks, *place)
     summed = cut(given.mapInArrow(_summed(f"{_SUMMARY}, {_TEXTS}"), f"{_SUMMARY}, {_TEXTS}"))
     ways = summed.drop("edits").groupBy("conv").applyInPandas(_scanned, _WAY)
     told = chunks.join(summed.select(*place, "edits"), place).join(ways, place).repartition("conv").sortWithinPartitions(*place)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import landed
+
 C = F.col
 #: Asset classes by region, roles by order priority.
 CLASSES = ["equity", "bond", "gold", "defensive_equity", "international_equity"]
@@ -25,6 +27,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def bars_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars, made and written once, for queries that read them in several places."""
+    return landed(bars(spark, sf_dir), "bars")
+
+
 BARS = """bars AS (
   SELECT l_suppkey::VARCHAR AS symbol, l_shipdate::DATE AS date,
          first(px ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS open, max(px) AS high, min(px) AS low,

@@ -163,7 +163,7 @@ def unified(spark: SparkSession, d: str) -> DataFrame:
 
 def regime_rows(spark: SparkSession, d: str) -> DataFrame:
     """All market features of the equity symbols (of all symbols if there is no equity), written once as they are read many times: a row a date."""
-    own = quality.filter_asset_class(A.bars(spark, d), A.universe(spark, d))
+    own = quality.filter_asset_class(A.bars_once(spark, d), A.universe(spark, d))
     return io.landed(regime.build_regime_features(own, A.index_series(spark, d)), "regime")
 
 

@@ -201,7 +201,7 @@ DAYS_SQL = f"days AS (SELECT b.date, i.close AS vix, CASE WHEN i.close < 20 THEN
 
 def days(spark: SparkSession, d: str) -> DataFrame:
     out = regime.align_asof(A.index_series(spark, d), A.bars(spark, d).select("date").distinct())
-    return out.select("date", "vix", regime.binary_veto(C("vix"), F.lit(20.0)).alias("veto"), regime.soft_scale(C("vix"), F.lit(22.0), F.lit(24.0)).alias("scale"))
+    return io.landed(out.select("date", "vix", regime.binary_veto(C("vix"), F.lit(20.0)).alias("veto"), regime.soft_scale(C("vix"), F.lit(22.0), F.lit(24.0)).alias("scale")), "days")
 
 
 @query("align_asof", f"WITH {A.BARS}, {A.INDEX}, {DAYS_SQL} SELECT date, round(vix, 11) AS vix, veto, scale FROM days")
@@ -329,7 +329,7 @@ n AS (SELECT date, symbol, asset_class, p, f, CASE WHEN sum(f2) OVER (PARTITION
 
 
 def kelly_rows(spark: SparkSession, d: str) -> DataFrame:
-    b = A.bars(spark, d)
+    b = A.bars_once(spark, d)
     rows = quality.with_asset_class(b, A.universe(spark, d)).join(sizing.gain_loss_ratio(regime.daily_returns(b)), "symbol")
     p = 0.3 + 0.6 * F.coalesce(X.ratio(C("close") - C("low"), C("high") - C("low")), F.lit(0.5))
     rows = rows.withColumn("p", p)
@@ -539,8 +539,8 @@ SELECT account, date, round(sum(coalesce(100 * c1 / nullif(c0, 0), 2 * c1, 100.0
 )
 def valued(spark: SparkSession, d: str) -> DataFrame:
     pos = A.filings(spark, d).filter("transaction_type = 'S'").select(C("role").alias("account"), "symbol", C("trade_date").alias("entry_date"), C("filing_date").alias("date")).distinct()
-    pos = pos.withColumns({"quantity": F.lit(2.0), "allocated": F.lit(100.0)})
-    return rounded(ledger.mark_to_market(pos, pos.select("account", "date", F.lit(50.0).alias("cash")).distinct(), A.bars(spark, d)), 3)
+    pos = io.landed(pos.withColumns({"quantity": F.lit(2.0), "allocated": F.lit(100.0)}), "positions")
+    return rounded(ledger.mark_to_market(pos, pos.select("account", "date", F.lit(50.0).alias("cash")).distinct(), A.bars_once(spark, d)), 3)
 
 
 def book_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -678,7 +678,7 @@ SELECT e.date, round(vol_5d, 6) AS vol_5d, round(vol_20d, 6) AS vol_20d, round(v
 FROM e ASOF LEFT JOIN idx i ON e.date >= i.date LEFT JOIN (SELECT date, avg(c) AS avg_correlation FROM c GROUP BY date) k ON k.date = e.date""",
 )
 def regime_table(spark: SparkSession, d: str) -> DataFrame:
-    b = quality.filter_asset_class(A.bars(spark, d), A.universe(spark, d))
+    b = quality.filter_asset_class(A.bars_once(spark, d), A.universe(spark, d))
     out = regime.build_regime_features(b, A.index_series(spark, d))
     return out.select(*[F.round(c, 9 if c == "vix" else 6).alias(c) if c != "date" else C(c) for c in out.columns])
 

@@ -99,6 +99,19 @@ def test_correlation_in_blocks_equals_pair_by_pair(spark, block):
     assert "Join" not in plan
 
 
+def test_correlation_takes_symbols_as_arrays(spark):
+    """A symbol is a row of arrays when it is copied to other blocks; windows that hardly move are worked around their means."""
+    rng = np.random.default_rng(4)
+    x = 1000 + 1e-7 * rng.normal(0, 1, (40, 3))
+    rets = spark.createDataFrame([(f"s{k}", DAYS[t], float(x[t, k])) for t in range(40) for k in range(3)], "symbol string, date date, ret double")
+    found = regime.rolling_avg_correlation(rets, symbol_block=2)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {r["date"]: r["avg_correlation"] for r in found.collect()}
+    for t in range(9, 40):
+        c = np.corrcoef((x[max(0, t - 19) : t + 1] - 1000).T)
+        assert got[DAYS[t]] == pytest.approx((c[0, 1] + c[0, 2] + c[1, 2]) / 3, abs=1e-6)
+
+
 def test_breadth_and_single_symbol(spark):
     rows = [("A", DAYS[0], 0.1), ("B", DAYS[0], 0.2), ("A", DAYS[1], -0.1), ("B", DAYS[1], -0.2), ("A", DAYS[2], 0.1), ("B", DAYS[2], -0.1), ("A", DAYS[3], None)]
     got = regime.market_breadth(spark.createDataFrame(rows, "symbol string, date date, ret double")).orderBy("date").collect()

@@ -44,6 +44,36 @@ def test_features_equal_pandas(spark, prices):
         np.testing.assert_allclose(got[name].astype(float), series.to_numpy(), rtol=1e-9, atol=1e-12, equal_nan=True)
 
 
+def test_rolled_windows_equal_pandas_and_take_lags(spark, prices):
+    """Means and deviations by lags instead of frames: with gaps, a symbol that stands still, and windows without small factors."""
+    gaps = prices.assign(close=prices["close"].where(np.arange(len(prices)) % 31 != 7))
+    still = prices[prices.symbol == "A"].assign(symbol="S", close=100.1)
+    rows = bars(spark, pd.concat([gaps, still]).astype({"close": object}).where(lambda x: x.notna(), None))
+    got = features.rolled(rows, [("close", 20), ("close", 50), ("close", 23), ("close", 1)], [("close", 20), ("close", 13)])
+    assert "-19, currentrow" not in features.rolled(rows, [("close", 20)], [("close", 20)])._jdf.queryExecution().optimizedPlan().toString().replace("$()", "")
+    got = got.orderBy("symbol", "date").toPandas()
+    for _, g in got.groupby("symbol"):
+        c = g["close"].astype(float)
+        for n in (20, 50, 23, 1):
+            np.testing.assert_allclose(g[features.mean_of("close", n)].astype(float), c.rolling(n).mean(), rtol=1e-12)
+        for n in (20, 13):
+            np.testing.assert_allclose(g[features.dev_of("close", n)].astype(float), c.rolling(n).std(), rtol=1e-9, atol=1e-9)
+    s = got[got.symbol == "S"][features.dev_of("close", 20)].dropna()
+    assert len(s) == 81 and (s == 0.0).all()
+
+
+def test_features_bring_rows_together_once(spark, prices):
+    """One exchange by symbol, nothing by ranges; batches of a few rows give the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = features.compute_all_features(bars(spark, prices))
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        got = df.orderBy("symbol", "date").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pd.testing.assert_frame_equal(got, features.compute_all_features(bars(spark, prices)).orderBy("symbol", "date").toPandas(), rtol=1e-12)
+
+
 def test_rsi_without_losses_is_null(spark):
     pdf = pd.DataFrame({"symbol": "A", "date": DAYS[:40], "open": 1.0, "high": 1.0, "low": 1.0, "close": np.arange(1.0, 41.0), "volume": 1.0})
     assert features.compute_all_features(bars(spark, pdf)).filter("rsi_14 is not null").count() == 0

@@ -11,6 +11,8 @@ from ..functions.expr import owner_role, parse_number, strip_xml_namespaces
 
 C = F.col
 SALE_CODES = ("S", "S-")
+#: What a document with a sale code has somewhere: the code as a text of its own, or signs that can stand for it.
+_MAY_SELL = r"[>\s]S-?\s*<|&|<!\[CDATA\["
 INDEX = "form array<string>, filingDate array<string>, accessionNumber array<string>, primaryDocument array<string>"
 _VALUE = "struct<value:string>"
 FORM4 = (
@@ -49,6 +51,7 @@ def parse_form4(df: DataFrame) -> DataFrame:
     The share sold is sold / (left + sold), 6 digits. Rows with bad share counts go, a bad trade date becomes the filing date,
     and malformed documents give no rows.
     """
+    df = df.filter(C("xml").rlike(_MAY_SELL))  # others have no sale, so they aren't parsed
     doc = F.from_xml(strip_xml_namespaces(C("xml")), FORM4, {"rowTag": "ownershipDocument"})
     owner = C("d.reportingOwner.reportingOwnerRelationship")
     rows = df.withColumn("d", doc).select("symbol", "filing_date", owner_role(owner["officerTitle"], owner["isDirector"], owner["isOfficer"]).alias("role"), F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("t"))

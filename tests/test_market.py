@@ -218,6 +218,29 @@ def test_entry_filter_stop_and_close(spark):
     assert stats["n_positions_closed"] == 1 and stats["capital_after_close"] == pytest.approx(10_000 - 1000 * 0.0008 - 999.2 * 0.0008, abs=0.01)
 
 
+def test_replay_holds_a_day_at_a_time(spark):
+    """Runs stream through tasks; days that lie in several batches give the same as whole ones."""
+    rng = np.random.default_rng(6)
+    rows = [(f"r{r}", f"s{k}", k, DAYS[t], float(100 + rng.normal(0, 9)), float(rng.random()), float(max(0.0, rng.normal(0.02, 0.05))), 0, 3.0) for r in range(3) for t in range(30) for k in range(9)]
+    df = spark.createDataFrame(rows, "run_id string, symbol string, symbol_rank int, date date, price double, signal double, f_star double, veto int, atr double")
+    found = []
+    for size in (4, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = ledger.portfolio_replay(df, ledger.ReplayRules(hysteresis=2, close_at_end=True))
+        found.append(sorted(map(str, out.collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and sum("equity=None" not in x for x in found[0]) == 90
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_forms_without_a_sale_are_not_parsed(spark):
+    form = "<ownershipDocument><nonDerivativeTable><nonDerivativeTransaction><transactionCoding><transactionCode>{}</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>10</value></transactionShares></transactionAmounts><postTransactionAmounts><sharesOwnedFollowingTransaction><value>30</value></sharesOwnedFollowingTransaction></postTransactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"
+    rows = [(code, DAYS[0], form.format(code)) for code in ("S", " S- ", "&#83;", "<![CDATA[S]]>", "P", "A")]
+    found = filings.parse_form4(spark.createDataFrame(rows, "symbol string, filing_date date, xml string"))
+    assert sorted(r["symbol"] for r in found.collect()) == sorted(["S", " S- ", "&#83;", "<![CDATA[S]]>"])
+    assert "RLIKE" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rebalance_interval(spark):
     df = ledger.portfolio_replay(signals(spark, [0.4, 0.6, 0.6, 0.6, 0.6, 0.6], [0.0, 0.1, 0.1, 0.1, 0.1, 0.1]), ledger.ReplayRules(rebalance_every=3))
     assert [(a, d) for a, _, d in actions(df)] == [("BUY", DAYS[3])]

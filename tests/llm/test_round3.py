@@ -318,3 +318,7 @@ def test_walks_stop_when_nothing_further_can_matter(spread):
             assert [(-s, j) for s, j in zip(group.best.score[group.best.slot == n], group.best.id[group.best.slot == n], strict=True)] == want
     if spread < 0.1:
         assert looked < 0.4 * 4000 * len(anchors)
+
+
+def test_attention_learns_from_every_training_text():
+    assert {L.turn_of(d, L.ROUNDS * L.EVERY) for d in [None, *range(2000)]} == set(range(L.ROUNDS))

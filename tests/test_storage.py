@@ -57,3 +57,10 @@ def test_files_of_unlike_columns(spark, tmp_path):
     assert {s for s, _ in got} == {"AAA", "B.B", "C-C"} and len(got) == 9
     assert all(got[s, DAYS[0]]["open"] == 1.0 and got[s, DAYS[2]]["close"] == 3.5 and got[s, DAYS[1]]["close"] is None for s in ("AAA", "B.B", "C-C"))
     assert got["C-C", DAYS[0]]["volume"] is None and got["B.B", DAYS[0]]["volume"] == 10.0
+
+
+def test_written_bars_are_read_without_opening_them_first(spark, tmp_path):
+    path = f"file://{tmp_path}/bars"
+    rows = [(s, dt.date(2021, 1, 4), 1.0, 2.0, 0.5, 1.5, 10.0) for s in ("007", "A")]
+    io.write_bars(spark.createDataFrame(rows, io.WRITTEN), path)
+    assert sorted(r["symbol"] for r in io.read_bars(spark, path, io.WRITTEN).collect()) == ["007", "A"]

@@ -79,7 +79,7 @@ def trade_log(spark: SparkSession, d: str) -> DataFrame:
 def bar_files(spark: SparkSession, d: str) -> DataFrame:
     path = io.work_dir(spark, "bars")
     io.write_bars(A.bars(spark, d), path)
-    return io.read_bars(spark, path).groupBy(C("symbol").cast("string").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 3).alias("close"))
+    return io.read_bars(spark, path, io.WRITTEN).groupBy(C("symbol").cast("string").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 3).alias("close"))
 
 
 @query("bar_table", SQL["window_features"])

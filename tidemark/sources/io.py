@@ -23,9 +23,16 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("symbol_rank", F.monotonically_increasing_id()).withColumnRenamed("ticker", "symbol")
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from one Parquet file per symbol, named after it, or from folders symbol=...; names of columns in any case. Files may differ in further columns and in the order of all."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+#: Columns of files that `write_bars` wrote.
+WRITTEN = "symbol string, date date, " + ", ".join(f"{c} double" for c in BARS)
+
+
+def read_bars(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Bars from one Parquet file per symbol, named after it, or from folders symbol=...; names of columns in any case. Files may differ in further columns and in the order of all.
+
+    With a schema (`WRITTEN` for what `write_bars` wrote) no file is opened to learn its columns, and symbols stay as they are spelled.
+    """
+    df = spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", True).parquet(path)
     if "symbol" not in df.columns:
         df = df.withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1))
     df = df.select(*[C(c).alias(c.lower()) for c in df.columns])

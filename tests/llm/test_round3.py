@@ -322,3 +322,22 @@ def test_walks_stop_when_nothing_further_can_matter(spread):
 
 def test_attention_learns_from_every_training_text():
     assert {L.turn_of(d, L.ROUNDS * L.EVERY) for d in [None, *range(2000)]} == set(range(L.ROUNDS))
+
+
+def test_words_that_cannot_tell_are_not_restored_and_the_others_read_as_before(monkeypatch):
+    from tidemark.llm import toxicity as T
+
+    rng = np.random.default_rng(5)
+    model = np.log(rng.dirichlet(np.ones(T.SIZE), (T.SIZE, T.SIZE))).astype(np.float32)
+    wanted = {x: k for k, x in enumerate(["idiot", "idio*", "loo*", "lo", "fool*", "all", "ißé*"])}
+    signs = list("idotlofaée0134!|*$.-_ (ß") + ["ll", "oo"]
+    words = ["".join(rng.choice(signs, rng.integers(1, 9))).replace(" ", "-") for _ in range(3000)] + ["1d!0t", "(i.d.i.o.t)", "f00l", "fo-ol!", "idiot!!", "looool", "LOO*", "all", "a11"]
+    gated, plain = T.Restorer(model, wanted), T.Restorer(model, wanted)
+    monkeypatch.setattr(plain, "telling", lambda low: True, raising=False)
+    assert [gated.of_word(w) for w in words] == [plain.of_word(w) for w in words]
+    assert sum(map(bool, map(gated.of_word, words))) > 20
+    read = []
+    monkeypatch.setattr(T, "restore", lambda word, model: read.append(word) or word)
+    for w in ("balloon", "committee", "b0ttom", "se77er"):
+        T.Restorer(model, {"idiot": 0, "fool*": 1}).of_word(w)
+    assert read == []

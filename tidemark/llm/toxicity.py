@@ -43,6 +43,16 @@ _EDGE = ".,;:?\"'`´()[]{}<>&#%/\\«»„“”‚‘’¿¡-_~=^"
 _GAP = r"(?:[ \t.\-_/*|,·•]{1,3})"
 _SPACED = re.compile(rf"(?<!\w)(?:[^\W\d_]|[{_SIGN}])(?:{_GAP}(?:[^\W\d_]|[{_SIGN}])){{2,}}(?!\w|[{_SIGN}]+\w)")
 
+#: Characters that may be read alike, as one of them; what a reading may leave out goes. A sign for many letters has no one to stand for it.
+_MANY = "".join(ch for ch, letters in LOOKALIKES.items() if len(letters) > 2)
+_ALIKE = str.maketrans({x: letters[0] for ch, letters in LOOKALIKES.items() if ch not in _MANY for x in ch + letters[1:]} | dict.fromkeys(" .-_"))
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def outline(text: str) -> str:
+    """What all readings of a lower-case text without signs for many letters share: if a reading has some letters side by side, its outline has theirs."""
+    return _RUN.sub(r"\1", text.translate(_ALIKE))
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**3, np.int64)
@@ -121,10 +131,31 @@ def restore(word: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    """Features of words: restored readings and their first 4 to 6 letters."""
+    """Features of words: restored readings and their first 4 to 6 letters. With `wanted`, the numbers of those features; words whose outline has none of theirs aren't read."""
 
     def __init__(self, model: np.ndarray, wanted: dict[str, int] | None = None):
         self.model, self.wanted, self.memo, self.held = model, wanted, {}, 0
+        names = set(wanted or ())
+        self.whole = {outline(x) for x in names if x[-1] != "*"}
+        self.begins: dict[int, set[str]] = {}  # outlines of first letters, by their number
+        for x in names:
+            if x[-1] == "*":
+                self.begins.setdefault(len(o := outline(x[:-1])), set()).add(o)
+        self.inside: dict[int, set[str]] = {}
+        for o in self.whole.union(*self.begins.values()):
+            self.inside.setdefault(len(o[:4]), set()).add(o[:4])
+
+    def telling(self, low: str) -> bool:
+        """False if no reading of a lower-case word can have a wanted feature. A word of letters has one reading, whole; in others readings may begin and end anywhere."""
+        if self.wanted is None:
+            return True
+        part = low.strip(_EDGE)
+        x = outline(part)
+        if part.isalpha():
+            return x in self.whole or any(x[:n] in begins for n, begins in self.begins.items())
+        if any(ch in part for ch in _MANY):
+            return True
+        return any(not begins.isdisjoint([x[k : k + n] for k in range(len(x) - n + 1)]) for n, begins in self.inside.items())
 
     def readings(self, word: str) -> list[str]:
         low = word.lower()
@@ -144,7 +175,7 @@ class Restorer:
             if self.held > _MEMO_BYTES:
                 self.memo.clear()
                 self.held = 0
-            names = self.named(self.readings(word))
+            names = self.named(self.readings(word)) if self.telling(word.lower()) else []
             got = self.memo[word] = tuple(names) if self.wanted is None else tuple({self.wanted[x] for x in names if x in self.wanted})
             self.held += 2 * len(word) + 220 + (80 * len(got) if self.wanted is None else 0)
         return got

@@ -341,3 +341,14 @@ def test_words_that_cannot_tell_are_not_restored_and_the_others_read_as_before(m
     for w in ("balloon", "committee", "b0ttom", "se77er"):
         T.Restorer(model, {"idiot": 0, "fool*": 1}).of_word(w)
     assert read == []
+
+
+def test_the_gradient_of_training_by_one_exponential_equals_that_of_log_probabilities():
+    from tidemark.llm import language_model as L
+
+    rng = np.random.default_rng(6)
+    m = L.Attention(L.start_weights().astype(float) + rng.normal(0, 0.1, len(L.start_weights())), rng.normal(size=(L.CLASSES, L.CLASSES)))
+    keys, target = rng.integers(0, L.CLASSES + 1, (9, 2 * L.SPAN)), rng.integers(0, L.CLASSES + 1, (9, L.SPAN))
+    keys[:, L.SPAN :] = np.minimum(keys[:, L.SPAN :], L.CLASSES - 1)
+    want = m.gradient(*m.forward(keys), target)
+    assert np.abs(want).max() > 1e-3 and m.learn(keys, target) == pytest.approx(want, abs=1e-12)

@@ -352,3 +352,48 @@ def test_the_gradient_of_training_by_one_exponential_equals_that_of_log_probabil
     keys[:, L.SPAN :] = np.minimum(keys[:, L.SPAN :], L.CLASSES - 1)
     want = m.gradient(*m.forward(keys), target)
     assert np.abs(want).max() > 1e-3 and m.learn(keys, target) == pytest.approx(want, abs=1e-12)
+
+
+def test_words_of_all_blocks_are_counted_and_cut_into_subwords_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(L, "FREQUENT", 5)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("aeioßkln.,") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [None, "", " \n ", *[rng.choice([" ", "\n"]).join(rng.choice(vocabulary) for _ in range(rng.randint(1, 90))) for _ in range(60)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["doc_id", "text", "row"])
+    blocks = list(L._blocks(3000)(iter([batch])))
+    dealt = [d for b in blocks for d in L._dealt(7)(iter([b.select(["block", "words", "counts"])]))]
+    assert len(blocks) > 3 and len(dealt) == len(blocks)
+    cut, learn = [], L.WordIds.learn
+    monkeypatch.setattr(L.WordIds, "learn", lambda self, words: cut.extend(words) or learn(self, words))
+    table = pa.Table.from_batches(dealt)
+    answers = [r for part in range(7) for r in L._looked_up(path)(table.filter(pa.compute.equal(table["part"], part))).to_pylist()]
+    words = [(t or "").split() for t in texts]
+    assert sorted(w.decode() for w in cut) == sorted({"", *[w for t in words for w in t]})
+    counts = Counter(w for i, t in enumerate(words) if not L.held_out(i) for w in [*t, ""])
+    assert sum(r["distinct"] for r in answers) == len(counts)
+    whole = Tokenizer.from_file(path)
+    size, seen = L._vocabulary(path) + 1, 0
+    for b in blocks:
+        mine = [[r for r in answers if r["block"] == b.column("block")[0].as_py()]]
+        rng.shuffle(mine[0])
+        row = pa.RecordBatch.from_arrays([*b.columns, pa.array(mine)], [*b.schema.names, "parts"])
+        (made,) = [r for g in L._gathered(iter([row])) for r in g.to_pylist()]
+        block, known = L.Block(L._opened(made)), L._unpacked(made["known"])
+        ids, _, n = block.texts(np.arange(size) % L.CLASSES)
+        assert known[0] == counts[""]
+        for at, size_, end, m in zip(np.cumsum(block.sizes) - block.sizes, block.sizes, np.cumsum(n), n, strict=True):
+            assert ids[end - m + 1 : end].tolist() == whole.encode(texts[seen] or "", add_special_tokens=False).ids
+            assert known[block.places[at : at + size_]].tolist() == [counts[w] for w in words[seen]]
+            seen += 1
+    assert seen == len(texts)
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 70_000, 1 << 40])
+def test_packed_numbers_come_back(most):
+    for n in (0, 1, 1000):
+        values = np.random.default_rng(n).integers(0, most + 1, n)
+        assert L._unpacked(L._packed(values)).tolist() == values.tolist()

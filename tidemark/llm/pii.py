@@ -165,7 +165,8 @@ def pairs_of(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, row, key, n_e, term, n_t, information): the terms of every document in `known` with the entities (at each level) it holds.
 
     n_e and n_t count documents of the whole corpus, entities' own text left out. A chance of n_et / n_t can't exceed n_e / n_t, so pairs whose
-    term is too common to reach GENERALISE whatever n_et is are dropped before they are counted. Words are counted with map-side
+    term is too common to reach GENERALISE whatever n_et is are dropped before they are counted. So are terms with n_t = 0: parts of words that
+    are joined to a value (`def` in `10.0.0.1def`), whose like stands in other documents' values only, so no document has such a word to mark. Words are counted with map-side
     combine, so what is shuffled is a task's vocabulary, not its text.
     """
     total = docs.count()
@@ -174,7 +175,7 @@ def pairs_of(docs: DataFrame, known: DataFrame) -> DataFrame:
     reach = lambda n: F.pow(n.cast("double"), F.lit(GENERALISE)) * F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) + 1e-6
     widest = entities.agg(F.max(reach(C("n_e")))).first()[0] or 0.0
     own = known.select(F.explode(F.array_except(_terms(C("text")), "terms")).alias("term"), F.lit(-1).alias("n"))
-    words = docs.select(F.explode(_terms(C("text"))).alias("term"), F.lit(1).alias("n")).unionByName(own).groupBy("term").agg(F.sum("n").alias("n_t")).filter(C("n_t") <= widest)
+    words = docs.select(F.explode(_terms(C("text"))).alias("term"), F.lit(1).alias("n")).unionByName(own).groupBy("term").agg(F.sum("n").alias("n_t")).filter((C("n_t") > 0) & (C("n_t") <= widest))
     common = known.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(C("n") > widest).select("term")
     held = known.select(C("doc_id").alias("_id"), C("row").alias("_row"), F.explode("keys").alias("key")).distinct().join(entities, "key").groupBy("_id", "_row").agg(F.collect_list(F.struct("key", "n_e")).alias("held"))
     rows = known.join(held, C("doc_id").eqNullSafe(C("_id")) & (C("row") == C("_row"))).select("doc_id", "row", "held", F.explode("terms").alias("term"))
